@@ -208,15 +208,19 @@ def _region_sql(names):
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def _countries(spark, sf):
-    return fx.posts(spark, sf).select("post_id", country_from_location("location_raw").alias("location"))
+_PLACES = {"fr": "Lyon, FRANCE", "de": "germany", "es": "Madrid, spain", "en": "NYC, us"}
+_COUNTRY_CTE = f"""{fx.POSTS}, c AS (SELECT post_id, CASE lang_gold WHEN 'fr' THEN 'France'
+  WHEN 'de' THEN 'Germany' WHEN 'es' THEN 'Spain' ELSE 'United States' END AS location FROM posts)"""
 
 
-_TITLE = ("array_to_string(list_transform(string_split(lower(split_part(location_raw, ', ', 2)), ' '), "
-          "lambda w: upper(w[1:1]) || w[2:]), ' ')")
+def _countries(spark, sf):
+    raw = F.lit(None).cast("string")
+    for lang, place in _PLACES.items():
+        raw = F.when(F.col("lang_gold") == lang, place).otherwise(raw)
+    return fx.posts(spark, sf).select("post_id", country_from_location(raw).alias("location"))
 
 
-@query("region_membership", f"""WITH {fx.POSTS}, c AS (SELECT post_id, {_TITLE} AS location FROM posts)
+@query("region_membership", f"""WITH {_COUNTRY_CTE}
   SELECT post_id, location, 'europe' AS region FROM c
     WHERE location IN {_region_sql(rules.EUROPEAN_LOCATIONS['v3'])}
   UNION ALL SELECT post_id, location, 'us' FROM c
@@ -227,10 +231,10 @@ def _(spark, sf):
             .unionByName(filters.region_membership(df, "us").withColumn("region", F.lit("us"))))
 
 
-@query("country_equals", f"""WITH {fx.POSTS}, c AS (SELECT {_TITLE} AS location FROM posts)
-  SELECT location, count(*) AS posts FROM c WHERE location IN ('Japan', 'Germany') GROUP BY 1""")
+@query("country_equals", f"""WITH {_COUNTRY_CTE}
+  SELECT location, count(*) AS posts FROM c WHERE location IN ('Germany', 'Spain') GROUP BY 1""")
 def _(spark, sf):
-    return filters.country_counts(_countries(spark, sf), ["Japan", "Germany"])
+    return filters.country_counts(_countries(spark, sf), ["Germany", "Spain"])
 
 
 @query("label_lookup", f"""WITH {fx.POSTS} SELECT post_id, sentiment,

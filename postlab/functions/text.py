@@ -20,7 +20,9 @@ def _col(value) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # the wrapper keeps a body with a second (default) parameter from being
+    # called with the element index
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def strip(value) -> Column:

@@ -4,11 +4,12 @@ Only the text crosses to the Python worker; the other columns stay in the JVM.
 The model is built once per worker and batch size bounds its memory.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
 
 from postlab import rules
 from postlab.functions.text import _col, flatten_newlines, truncate
@@ -23,10 +24,8 @@ def label_batches(text, factory: Callable[[], Callable[[Sequence[str]], Sequence
     text costs only itself; it becomes neutral and its error is reported.
     """
 
-    @pandas_udf("label string, score_error string", PandasUDFType.SCALAR_ITER)
-    def score(batches):
-        import pandas as pd
-
+    @pandas_udf("label string, score_error string")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
 
         def safe(chunk):
@@ -59,10 +58,9 @@ def infer_batches(text, factory: Callable[[], Callable], batch_size: int = 32) -
     failed = rules.FAILED_BATCH_SCORES
 
     @pandas_udf("sentiment string, neg_score double, neu_score double, pos_score double, "
-                "score_error string", PandasUDFType.SCALAR_ITER)
-    def infer(batches):
+                "score_error string")
+    def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        import pandas as pd
 
         model = factory()
         names = np.array(["Negative", "Neutral", "Positive"])
