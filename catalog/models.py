@@ -14,6 +14,7 @@ from postlab.operators.aggregates import sentiment_by_location
 from postlab.operators.filters import valid_timestamp
 from postlab.operators.sampling import head_tail_split
 from postlab.sentiment import batch, lexicon, naive_bayes, registry
+from postlab.session import work_path
 
 
 def _values(table) -> str:
@@ -228,7 +229,8 @@ _COMPARE = f"""{_NB_PREDICT}, {lexicon_sql('test', 'row_id', 'text')}, pred AS (
 @query("compare_models", f"WITH {_COMPARE} SELECT * FROM met")
 def _(spark, sf):
     from postlab.plans.compare import compare_models
-    return compare_models(fx.gold(spark, sf), _scorers(), fx.STOP_WORDS).metrics
+    return compare_models(fx.gold(spark, sf), _scorers(), fx.STOP_WORDS,
+                          folder=work_path(spark, "comparison")).metrics
 
 
 # --- the flagship: how does each country feel? ------------------------------------------

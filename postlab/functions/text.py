@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from postlab import rules
 
-# Java's \s is ASCII unless (?U); the four separators are whitespace to Python.
-_SPACE = r"[\s\x{1c}-\x{1f}]"
-WORD = r"[\p{L}\p{N}_]"
+# Every character Python's str.strip() removes (FIXED VALUE: Unicode whitespace
+# and the four ASCII separators).
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000")
+# Java's \s is ASCII unless (?U), and never includes the separators.
+_SPACE = r"\s\x{1c}-\x{1f}"
+# Python's \w. Java's is ASCII, or with (?U) holds combining marks as well.
+WORD_CHARS = r"\p{L}\p{N}_"
 
 
 def _col(value) -> Column:
@@ -26,15 +33,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(value) -> Column:
-    """Remove all Unicode whitespace at both ends (``trim`` removes spaces only)."""
-    left = F.regexp_replace(_col(value), f"(?U)^{_SPACE}+", "")
-    return F.regexp_replace(left, f"(?U){_SPACE}+$", "")
+    """Remove all Unicode whitespace at both ends (plain ``trim`` removes spaces only)."""
+    return F.btrim(_col(value), F.lit(WHITESPACE))
 
 
 def is_blank(value) -> Column:
     """True for null, empty or whitespace-only text."""
     value = _col(value)
-    return value.isNull() | ~value.rlike(r"(?U)[^\s\x{1c}-\x{1f}]")
+    return value.isNull() | ~value.rlike(f"(?U)[^{_SPACE}]")
 
 
 def title_case(value) -> Column:
@@ -92,11 +98,15 @@ def clean_text(value) -> Column:
 
     ``#`` needs no step of its own: the punctuation class covers it.
     """
-    out = F.regexp_replace(_col(value), r"(?U)http\S+", "")
-    out = F.regexp_replace(out, f"@{WORD}+", "")
-    out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s]", "")
+    text = _col(value)
+    # the separators become spaces up front, so that plain \s (faster than a
+    # class with extra members) covers all whitespace below
+    out = F.when(text.rlike(r"[\x{1c}-\x{1f}]"), F.translate(text, "\x1c\x1d\x1e\x1f", "    "))
+    out = F.regexp_replace(out.otherwise(text), r"(?U)http\S+", "")
+    out = F.regexp_replace(out, f"@[{WORD_CHARS}]+", "")
+    out = F.regexp_replace(out, rf"(?U)[^{WORD_CHARS}\s]", "")
     out = F.regexp_replace(out, r"(?U)\s+", " ")
-    return strip(out)
+    return F.trim(out)      # only plain spaces are left
 
 
 def na_to_null(value, markers: Sequence[str] = rules.NA_MARKERS) -> Column:
@@ -106,22 +116,36 @@ def na_to_null(value, markers: Sequence[str] = rules.NA_MARKERS) -> Column:
 
 
 def detect_language(value) -> Column:
-    """Rule-based language guess over the whole text."""
+    """Rule-based language guess over the whole text.
+
+    The padded text holds an indicator " word " exactly when "word" is one of
+    its parts between single spaces, so one split and one set test per part
+    replace a text scan per indicator. The few indicators without a leading
+    space are looked for at the end of the parts.
+    """
     text = _col(value)
     languages = list(rules.LANGUAGE_INDICATORS)
+    words = {name: [i.strip() for i in found if i.startswith(" ")]
+             for name, found in rules.LANGUAGE_INDICATORS.items()}
+    endings = {name: [i.strip() for i in found if not i.startswith(" ")]
+               for name, found in rules.LANGUAGE_INDICATORS.items()}
+    every_word = sorted({w for found in words.values() for w in found})
 
     def scored(low: Column) -> Column:
-        scores = []
-        for language in languages:
-            score = F.lit(0)
-            for indicator in rules.LANGUAGE_INDICATORS[language]:
-                score = score + F.contains(low, F.lit(indicator)).cast("int")
-            letters, bonus = rules.LANGUAGE_LETTERS.get(language, ("", 0))
-            if letters:
-                has_letter = _any_of([F.contains(low, F.lit(ch)) for ch in letters])
-                score = score + F.when(has_letter, bonus).otherwise(0)
-            scores.append(score)
-        return F.array(*scores)
+        def of_found(found: Column) -> Column:
+            scores = []
+            for language in languages:
+                listed = F.array(*[F.lit(w) for w in words[language]])
+                score = F.size(F.array_intersect(found, listed))
+                for ending in endings[language]:
+                    score = score + F.contains(low, F.lit(ending + " ")).cast("int")
+                letters, bonus = rules.LANGUAGE_LETTERS.get(language, ("", 0))
+                if letters:
+                    score = score + F.when(low.rlike(f"[{letters}]"), bonus).otherwise(0)
+                scores.append(score)
+            return F.array(*scores)
+
+        return let(F.filter(F.split(low, " "), lambda part: part.isin(*every_word)), of_found)
 
     def pick(scores: Column) -> Column:
         best = F.array_max(scores)
@@ -146,14 +170,16 @@ def repair_mojibake(value) -> Column:
     high = "".join(rules.CP1252_HIGH.values())
     low = "".join(chr(code) for code in rules.CP1252_HIGH)
 
+    # a lead byte followed by a continuation byte, in either reading
+    suspect = text.rlike(rf"[\x{{C2}}-\x{{F4}}][\x{{80}}-\x{{BF}}{high}]")
+
     def undo(latin: Column) -> Column:
+        # encode() raises on characters it cannot map: none is left to it
         one_byte = F.regexp_replace(latin, r"[^\x{00}-\x{FF}]", "?")
         decoded = F.try_validate_utf8(F.encode(one_byte, "ISO-8859-1").cast("string"))
-        garbled = (latin.rlike(r"^[\x{00}-\x{FF}]*$")
-                   & latin.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]"))
-        return F.when(garbled, decoded)
+        return F.when(latin.rlike(r"^[\x{00}-\x{FF}]*$"), decoded)
 
-    return F.coalesce(let(F.translate(text, high, low), undo), text)
+    return F.coalesce(F.when(suspect, let(F.translate(text, high, low), undo)), text)
 
 
 def valid_utf8(value) -> Column:
@@ -177,6 +203,6 @@ def label_title(value) -> Column:
     return title_case(value)
 
 
-def tokens(value, pattern: str = r"[\p{L}\p{N}_']+") -> Column:
+def tokens(value, pattern: str = f"[{WORD_CHARS}']+") -> Column:
     """Lower-case word tokens in text order."""
-    return F.regexp_extract_all(F.lower(_col(value)), F.lit(f"({pattern})"), 1)
+    return F.regexp_extract_all(F.lower(_col(value)), F.lit(pattern), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlab.functions.geo import in_region, location_key
 from postlab.functions.labels import label_score
-from postlab.functions.text import label_title
+from postlab.functions.text import WORD_CHARS, label_title, tokens
 from postlab.operators.ranks import exact_medians
 from postlab.operators.sampling import top_counts
 from postlab.operators.windows import percent_of_total, top_k_per_group
@@ -47,9 +47,16 @@ def diversity_summary(posts: DataFrame, profile: str = "v3") -> DataFrame:
 
 
 def location_distribution(posts: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` locations with their share of all posts; the empty one is cut afterwards."""
-    total = posts.agg(_rows().alias("total")).scalar()
-    return (top_counts(posts, "location", n).where(F.col("location") != "")
+    """Top ``n`` locations with their share of all posts; the empty one is cut afterwards.
+
+    Total and top list read the same grouped counts, so the posts are scanned
+    once. A null group may take one place, hence ``n + 1`` before it is dropped.
+    """
+    counts = posts.groupBy("location").agg(_rows().alias("posts"))
+    total = counts.agg(F.sum("posts").alias("total")).scalar()
+    order = [F.desc("posts"), F.asc("location")]
+    top = counts.orderBy(*order).limit(n + 1).where(F.col("location").isNotNull())
+    return (top.orderBy(*order).limit(n).where(F.col("location") != "")
             .withColumn("pct", F.col("posts") / total * 100))
 
 
@@ -116,16 +123,25 @@ def geocode_stats(df: DataFrame, column: str = "location_str") -> DataFrame:
 
 def word_frequency(posts: DataFrame, stop_words: Sequence[str], labels=("positive", "negative"),
                    text: str = "content", label: str = "sentiment", min_text: int = 10) -> DataFrame:
-    """Word counts per label, for labels with more than ``min_text`` characters of joined text."""
-    wanted = posts.where(F.col(label).isin(*labels)).select(label, text)
-    enough = (wanted.groupBy(label)
-              .agg(F.sum(F.length(text) + 1).alias("chars"))
-              .where(F.col("chars") - 1 > min_text).select(label))
-    words = wanted.select(label, F.explode(F.regexp_extract_all(
-        F.lower(text), F.lit(r"([\p{L}\p{N}_][\p{L}\p{N}_']+)"), 1)).alias("word"))
-    counts = (words.where(~F.col("word").isin(*stop_words))
-              .groupBy(label, "word").agg(_rows().alias("n")))
-    return counts.join(enough, label, "left_semi")
+    """Word counts per label, for labels with more than ``min_text`` characters of joined text.
+
+    Each post adds one null word that carries its length (plus the joining
+    space), so counts and text sizes come from the same pass over the text. The
+    two uses below filter on aggregated columns only; a filter on ``word`` would
+    be pushed under the aggregate and split it into two.
+    """
+    wanted = posts.where(F.col(label).isin(*labels) & F.col(text).isNotNull()).select(label, text)
+    found = F.filter(
+        tokens(text, f"[{WORD_CHARS}][{WORD_CHARS}']+"),
+        lambda w: ~w.isin(*stop_words))
+    # word and size travel in one struct: a text column kept beside the words
+    # would be copied once per word
+    sized = F.transform(found, lambda w: F.struct(w.alias("word"), F.lit(0).alias("size")))
+    whole = F.struct(F.lit(None).cast("string").alias("word"), (F.length(text) + 1).alias("size"))
+    words = wanted.select(label, F.inline(F.array_append(sized, whole)))
+    counts = words.groupBy(label, "word").agg(_rows().alias("n"), F.sum("size").alias("size"))
+    enough = counts.where((F.col("size") - 1 > min_text) & (F.col("n") > 0)).select(label)
+    return counts.where(F.col("size") == 0).drop("size").join(enough, label, "left_semi")
 
 
 def top_words(posts: DataFrame, stop_words: Sequence[str], k: int = 10, **options) -> DataFrame:

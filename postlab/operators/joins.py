@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlab.functions.geo import location_key
-from postlab.functions.text import _any_of
+from postlab.functions.text import let
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -54,8 +54,8 @@ def join_profile(posts: DataFrame, profiles: DataFrame, handle: str = "username"
 
 def geocode_join(df: DataFrame, gazetteer: DataFrame, column: str = "location_str") -> DataFrame:
     """Add latitude and longitude by normalised location; misses stay null."""
-    dim = gazetteer.dropDuplicates(["location_key"]).select(
-        F.col("location_key").alias("_key"), "latitude", "longitude")
+    dim = gazetteer.groupBy(F.col("location_key").alias("_key")).agg(
+        F.min_by("longitude", "latitude").alias("longitude"), F.min("latitude").alias("latitude"))
     return (df.withColumn("_key", location_key(column))
             .join(dim, "_key", "left").drop("_key"))
 
@@ -73,14 +73,15 @@ def term_matches(posts: DataFrame, terms: Sequence[str], column: str = "content"
     post yields the array of its matching terms and explodes it in place. No
     pairs of non-matching rows are ever made and nothing is shuffled.
     """
-    lowered = posts.withColumn("_low", F.lower(column))
-    hits = F.array_compact(F.array(*[
-        F.when(F.contains("_low", F.lit(term.lower())),
-               F.struct(F.lit(i).alias("term_idx"), F.lit(term).alias("search_term")))
-        for i, term in enumerate(terms)]))
+
+    def matching(low: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(F.contains(low, F.lit(term.lower())),
+                   F.struct(F.lit(i).alias("term_idx"), F.lit(term).alias("search_term")))
+            for i, term in enumerate(terms)]))
+
     kept = [name for name in posts.columns if name not in ("term_idx", "search_term")]
-    return (lowered.where(_any_of([F.contains("_low", F.lit(t.lower())) for t in terms]))
-            .select(*kept, F.inline(hits)))
+    return posts.select(*kept, F.inline(let(F.lower(column), matching)))
 
 
 def anti_seen_posts(posts: DataFrame, seen: DataFrame, key: str = "post_id") -> DataFrame:

@@ -1,67 +1,85 @@
 """Exact order statistics without sorting rows into one task.
 
-``value_at_rank`` counts rows per value bucket and zooms into the bucket that
-holds the wanted rank. Each pass is one aggregation whose result has at most
-``BUCKETS + 2`` rows; rows themselves never leave their tasks.
+The rows are counted per value bucket, then the search zooms into the bucket
+that holds the wanted rank. Each pass is one aggregation whose result has at
+most ``BUCKETS + 1`` rows; the rows themselves never leave their tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, slack: int = 0):
-    """The value of the ``rank``-th smallest row (1-based), ties counted by row.
+class RankSearch:
+    """Finds values by rank in one numeric column; nulls do not count."""
 
-    With ``slack`` > 0 the search may stop early at a value that has at least
-    ``rank`` and at most ``rank + slack`` rows at or below it.
-    """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    below = 0                      # rows under the current [low, high] range
-    while low is not None:
-        if low == high:
-            return low
-        inside = values.where(F.col("v").between(F.lit(low), F.lit(high)))
-        # bucket edges only steer the search: the next range uses real values
+    def __init__(self, df: DataFrame, column: str, low=None, high=None):
+        self.values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+        self.low, self.high = low, high
+        self._passes = {}
+
+    def measure(self) -> int:
+        """Number of rows; also fixes the range of the search."""
+        n, self.low, self.high = self.values.agg(
+            F.count("v"), F.min("v"), F.max("v")).first()
+        return n
+
+    def _bucket(self, low, high) -> Column:
         width = float(high) - float(low)
-        bucket = F.least(F.floor((F.col("v").cast("double") - F.lit(float(low))) / width * BUCKETS),
-                         F.lit(BUCKETS))
-        if not 0 < width < float("inf"):       # range too fine for a double
-            bucket = F.when(F.col("v") == F.lit(low), 0).otherwise(1)
-        counts = (inside.groupBy(bucket.alias("b"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                  .orderBy("lo").collect())    # bounded by BUCKETS + 1
-        for row in counts:
-            if below + row["n"] >= rank:
-                if below + row["n"] <= rank + slack:
-                    return row["hi"]
-                # the ends of the range fall into different buckets: always progress
-                low, high = row["lo"], row["hi"]
-                break
-            below += row["n"]
-        else:
-            return None            # rank beyond the number of rows
-    return None
+        if not 0 < width < float("inf"):       # neighbours that a double cannot part
+            return F.when(F.col("v") == F.lit(low), 0).otherwise(1)
+        return F.floor((F.col("v").cast("double") - F.lit(float(low))) / width * BUCKETS)
+
+    def _counts(self, low, high) -> list:
+        """(n, lo, hi) per bucket between two values, in order.
+
+        Bucket edges only steer the search; the next range uses the real least
+        and greatest value of a bucket, so rounding cannot lose a row.
+        """
+        if (low, high) not in self._passes:
+            inside = self.values.where(F.col("v").between(F.lit(low), F.lit(high)))
+            self._passes[low, high] = (
+                inside.groupBy(self._bucket(low, high).alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                .orderBy("lo").collect())
+        return self._passes[low, high]
+
+    def value_at(self, rank: int, slack: int = 0):
+        """Value of the ``rank``-th smallest row (1-based), None beyond the last.
+
+        With ``slack`` the search may stop early at a value with at least
+        ``rank`` and at most ``rank + slack`` rows at or below it.
+        """
+        low, high, below = self.low, self.high, 0
+        while low is not None and low != high:
+            for row in self._counts(low, high):
+                if below + row["n"] >= rank:
+                    break
+                below += row["n"]
+            else:
+                return None
+            if below + row["n"] <= rank + slack:
+                return row["hi"]
+            # both ends of the range lie in different buckets: always progress
+            low, high = row["lo"], row["hi"]
+        return low
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Interpolated medians of several columns."""
-    sizes = df.agg(*[F.count(name).alias(name) for name in columns]).first()
+    stats = df.agg(*[f(name).alias(f"{tag}_{name}") for name in columns
+                     for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     medians = {}
     for name in columns:
-        n = sizes[name]
-        if not n:
-            medians[name] = None
-            continue
-        low = value_at_rank(df, name, (n + 1) // 2)
-        high = low if n % 2 else value_at_rank(df, name, n // 2 + 1)
-        medians[name] = (low + high) / 2
+        n = stats[f"n_{name}"]
+        search = RankSearch(df, name, stats[f"lo_{name}"], stats[f"hi_{name}"])
+        middle = [search.value_at(r) for r in {(n + 1) // 2, n // 2 + 1}] if n else []
+        medians[name] = sum(middle) / len(middle) if n else None
     return medians
 
 
@@ -70,8 +88,9 @@ def head_tail_bounds(df: DataFrame, order_key: str, head: float = 0.8, tail_part
 
     The key must be numeric and unique: it stands for the row order.
     """
-    n = df.count()
+    search = RankSearch(df, order_key)
+    n = search.measure()
     head_n, tail_n = int(head * n), n // tail_parts
-    last_head = value_at_rank(df, order_key, head_n) if head_n else None
-    first_tail = value_at_rank(df, order_key, n - tail_n + 1) if tail_n else None
+    last_head = search.value_at(head_n) if head_n else None
+    first_tail = search.value_at(n - tail_n + 1) if tail_n else None
     return last_head, first_tail

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlab.operators.ranks import head_tail_bounds, value_at_rank
+from postlab.operators.ranks import RankSearch, head_tail_bounds
 
 
 def top_counts(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -40,10 +40,10 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     other rows, so about n rows are sorted in total.
     """
     hashed = df.withColumn("_order", sample_order(key, seed))
-    bound = value_at_rank(hashed.select("_order"), "_order", n, slack=max(n, 1000))
-    if bound is None:               # fewer than n rows: the sample is everything
+    search = RankSearch(hashed, "_order")
+    if search.measure() <= n:
         return df
-    near = hashed.where(F.col("_order") <= F.lit(bound))
+    near = hashed.where(F.col("_order") <= F.lit(search.value_at(n, slack=max(n, 1000))))
     return near.orderBy("_order", key).limit(n).drop("_order")
 
 

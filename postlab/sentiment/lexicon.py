@@ -50,29 +50,34 @@ def _value_of(table: Mapping[str, float], word: Column) -> Column:
 
 
 def compound_score(text, lexicon: Lexicon) -> Column:
-    """Compound score in [-1, 1] of a whole text, 4 digits; null text gives 0."""
-    listed = list(lexicon.valences)
-    negations = list(lexicon.negations)
-
-    def adjusted(words: Column, hit: Column) -> Column:
+    """Compound score in [-1, 1] of a whole text, 4 digits; null text gives 0.
+
+    Most words carry no valence and most words before one neither strengthen nor
+    negate it, so both cases end at a single set test.
+    """
+    valued = [word for word, v in lexicon.valences.items() if v]
+    # a word of the lexicon does not act on the words after it
+    boosters = {w: b for w, b in lexicon.boosters.items() if w not in lexicon.valences}
+    negations = [w for w in lexicon.negations if w not in lexicon.valences]
+    acting = sorted({*boosters, *negations})
+
+    def adjusted(words: Column, i: Column) -> Column:
         def look_back(value: Column, distance: Column) -> Column:
             def apply(word: Column) -> Column:
                 damping = F.get(F.array(*[F.lit(d) for d in rules.VADER_DAMPING]), distance - 1)
-                boost = _value_of(lexicon.boosters, word) * damping
+                boost = _value_of(boosters, word) * damping
                 boosted = value + F.when(value < 0, -boost).otherwise(boost)
                 turned = F.when(word.isin(*negations), boosted * rules.VADER_NEGATION).otherwise(boosted)
-                return F.when(word.isNull() | word.isin(*listed), value).otherwise(turned)
+                return F.when(word.isin(*acting), turned).otherwise(value)
 
-            return let(F.get(words, hit["i"] - distance), apply)
+            return let(F.get(words, i - distance), apply)
 
         steps = F.array(*[F.lit(d) for d in range(1, len(rules.VADER_DAMPING) + 1)])
-        return F.aggregate(steps, hit["v"], look_back)
+        return F.aggregate(steps, _value_of(lexicon.valences, F.get(words, i)), look_back)
 
     def total(words: Column) -> Column:
-        valued = F.transform(words, lambda w, i: F.struct(
-            i.alias("i"), _value_of(lexicon.valences, w).alias("v")))
-        hits = F.filter(valued, lambda h: h["v"] != 0)
-        return F.aggregate(hits, F.lit(0.0), lambda acc, hit: acc + adjusted(words, hit))
+        places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*valued), i)))
+        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + adjusted(words, i))
 
     return let(let(tokens(F.coalesce(_col(text), F.lit(""))), total),
                lambda s: F.round(s / F.sqrt(s * s + rules.VADER_ALPHA), 4))

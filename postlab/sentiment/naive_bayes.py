@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlab import rules
-from postlab.functions.text import _col, let, tokens
+from postlab.functions.text import WORD_CHARS, _col, let, tokens
 
 MAX_FEATURES = 5000
 ALPHA = 0.1
@@ -27,7 +27,7 @@ def english_stop_words() -> list[str]:
 
 def ngrams(text, stop_words: Sequence[str]) -> Column:
     """Words of two or more characters without stop words, and their pairs."""
-    words = tokens(F.coalesce(_col(text), F.lit("")), r"[\p{L}\p{N}_]{2,}")
+    words = tokens(F.coalesce(_col(text), F.lit("")), f"[{WORD_CHARS}]{{2,}}")
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
 
@@ -43,6 +43,8 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str],
                 carry: Sequence[str] = ()) -> DataFrame:
     """Count per (document, term); rows of a document meet in its own task first."""
     terms = docs.select(key, *carry, F.explode(ngrams(text, stop_words)).alias("term"))
+    # stated here so that every use of the counts has the same plan and shares its shuffle
+    terms = terms.where(F.col("term").isNotNull())
     return terms.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -134,13 +136,14 @@ def predict_naive_bayes(docs: DataFrame, model: NaiveBayesModel, key: str, text:
     the vocabulary fold into one null term, so a document without any known
     term survives and gets the prior.
     """
-    dim = model.terms.withColumnRenamed("term", "known")
+    known = model.terms.select(F.col("term").alias("known"))
     terms = docs.select(key, F.explode_outer(ngrams(text, model.stop_words)).alias("token"))
-    counts = (terms.join(F.broadcast(dim), F.col("token") == F.col("known"), "left")
-              .groupBy(key, "known", "idf", *model.labels)
-              .agg(F.count(F.lit(1)).alias("tf")))
+    counts = (terms.join(F.broadcast(known), F.col("token") == F.col("known"), "left")
+              .groupBy(key, "known").agg(F.count(F.lit(1)).alias("tf")))
+    # the weights join after the count, so the shuffle carries (key, term, tf) only
+    weighted = counts.join(F.broadcast(model.terms.withColumnRenamed("term", "known")), "known", "left")
     raw = F.col("tf") * F.col("idf")
-    sums = counts.groupBy(key).agg(
+    sums = weighted.groupBy(key).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),
         *[F.sum(raw * F.col(name)).alias(name) for name in model.labels])
     scores = sums.select(key, *[
