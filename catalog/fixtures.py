@@ -254,7 +254,7 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-            .groupBy(F.col("n_name").alias("state"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+            .groupBy(F.col("n_name").alias("state"), F.col("o_orderdate").cast("date").alias("date"))
             .agg(F.sum("o_totalprice").alias("confirmed")))
 
 

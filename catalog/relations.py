@@ -211,17 +211,21 @@ def _(spark, sf):
     return agg.top_words(fx.posts(spark, sf), fx.STOP_WORDS, 25)
 
 
+def _printable(cases):
+    return cases.withColumns({"confirmed": F.round("confirmed", 2),
+                              "date": F.date_format("date", "yyyy-MM-dd")})
+
+
 @query("snapshot_by_country", f"""WITH {fx.CASES} SELECT state, date, round(sum(confirmed), 2) AS confirmed
   FROM cases WHERE date = (SELECT max(date) FROM cases) GROUP BY 1, 2""")
 def _(spark, sf):
-    return agg.snapshot_by_country(fx.cases(spark, sf), "state").withColumn(
-        "confirmed", F.round("confirmed", 2))
+    return _printable(agg.snapshot_by_country(fx.cases(spark, sf), "state"))
 
 
 @query("latest_by_state", f"""WITH {fx.CASES} SELECT upper(state) AS state,
   round(arg_max(confirmed, date), 2) AS confirmed, max(date) AS date FROM cases GROUP BY 1""")
 def _(spark, sf):
-    return agg.latest_by_state(fx.cases(spark, sf)).withColumn("confirmed", F.round("confirmed", 2))
+    return _printable(agg.latest_by_state(fx.cases(spark, sf)))
 
 
 @query("top_languages", """SELECT lang AS language, count(*) AS posts FROM documents

@@ -141,7 +141,9 @@ def word_frequency(posts: DataFrame, stop_words: Sequence[str], labels=("positiv
     words = wanted.select(label, F.inline(F.array_append(sized, whole)))
     counts = words.groupBy(label, "word").agg(_rows().alias("n"), F.sum("size").alias("size"))
     enough = counts.where((F.col("size") - 1 > min_text) & (F.col("n") > 0)).select(label)
-    return counts.where(F.col("size") == 0).drop("size").join(enough, label, "left_semi")
+    # at most one row per wanted label: joining by shuffle would put all words of
+    # a label into one task
+    return counts.where(F.col("size") == 0).drop("size").join(F.broadcast(enough), label, "left_semi")
 
 
 def top_words(posts: DataFrame, stop_words: Sequence[str], k: int = 10, **options) -> DataFrame:

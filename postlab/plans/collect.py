@@ -13,11 +13,17 @@ from postlab.operators.joins import join_profile
 from postlab.operators.sampling import trim_total
 from postlab.operators.windows import (cap_after_first_accept, cap_per_search,
                                        dedupe_across_terms, limit_per_term, one_post_per_user)
+from postlab.session import shared_dir
 
 
 def select_posts(hits: DataFrame, profile: str = "v3", per_term: int = rules.POSTS_PER_SEARCH) -> DataFrame:
-    """Which hits are kept: the caps and de-duplication of a collector profile."""
-    limited = limit_per_term(hits, per_term)
+    """Which hits are kept: the caps and de-duplication of a collector profile.
+
+    The per-term limit leaves at most terms x 100 rows. They are checkpointed:
+    the caps below read them up to four times, the landed hits once.
+    """
+    shared_dir(hits.sparkSession)
+    limited = limit_per_term(hits, per_term).checkpoint()
     if profile == "v1":
         return dedupe_across_terms(limited)
     if profile == "v2":
