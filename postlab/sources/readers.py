@@ -15,7 +15,6 @@ from postlab.operators.frame import post_id, post_link
 from postlab.operators.joins import join_place
 
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
-_NO_NULL = "\u0000"      # keeps empty fields apart from absent ones while reading
 
 
 def _names(schema: T.StructType) -> list[str]:
@@ -39,8 +38,10 @@ def scan_posts_csv(spark: SparkSession, folder: str | Sequence[str],
     df = (spark.read.options(**_CSV).option("ignoreCorruptFiles", "true")
           .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
           .schema(schema).csv(folder))
+    # names in the metadata are percent-encoded
+    name = F.replace(F.lower(F.col("_metadata.file_name")), F.lit("%20"), F.lit(" "))
     for part in exclude:
-        df = df.where(~F.contains(F.lower(F.col("_metadata.file_name")), F.lit(part)))
+        df = df.where(~F.contains(name, F.lit(part)))
     return df
 
 
@@ -53,13 +54,17 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 def scan_skip_bad_rows(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """CSV whose rows with too many fields are dropped; short rows are padded.
 
-    One surplus column catches the overflow. (DROPMALFORMED would also drop
-    short rows, and depends on which columns a query reads.)
+    DROPMALFORMED would drop short rows too. Reading with one column more than
+    declared, a row of exactly that length is a bad one; every other row comes
+    with its raw text, in which the separators outside quotes are counted.
     """
-    wide = T.StructType([T.StructField(name, T.StringType()) for name in [*_names(schema), "_surplus"]])
-    raw = (spark.read.options(**_CSV).option("nullValue", _NO_NULL)
-           .option("enforceSchema", "true").schema(wide).csv(path))
-    return _typed(raw.where(F.col("_surplus").isNull()), schema)
+    names = [*_names(schema), "_surplus", "_raw"]
+    wide = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = (spark.read.options(**_CSV).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_raw").schema(wide).csv(path))
+    unquoted = F.regexp_replace("_raw", r'"(?:[^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    return _typed(rows.where(F.col("_raw").isNotNull() & (fields <= len(schema.fields))), schema)
 
 
 def scan_lenient_utf8(df: DataFrame, *columns: str) -> DataFrame:
