@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.sentiment.lexicon import Lexicon
+from postlab.sources.readers import spread
 
 TERMS = ("click", "error", "purchase", "signup", "view")
 
@@ -33,8 +34,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """For per-row text work: the file has one row group, hence one task."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+def posts(spark: SparkSession, sf: str, text_work: bool = False) -> DataFrame:
+    docs = documents(spark, sf) if text_work else table(spark, sf, "documents")
+    docs = docs.select("doc_id", "text", "lang")
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return (
@@ -150,7 +157,7 @@ SCORED = LOCATED + """, logit AS (
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("row_id"), "text",
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")

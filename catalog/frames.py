@@ -145,7 +145,7 @@ _TOPIC = " OR ".join(f"contains(lower(content), '{k.lower()}')" for k in rules.T
 
 @query("keyword_any", f"WITH {fx.POSTS} SELECT post_id, username FROM posts WHERE {_TOPIC}")
 def _(spark, sf):
-    return filters.keyword_any(fx.posts(spark, sf)).select("post_id", "username")
+    return filters.keyword_any(fx.posts(spark, sf, text_work=True)).select("post_id", "username")
 
 
 @query("gold_label_filter", f"""WITH {fx.POSTS}

@@ -50,7 +50,7 @@ lex AS (SELECT key, compound, CASE WHEN compound >= 0.05 THEN 'positive'
 @query("lexicon_score", f"WITH {lexicon_sql('documents', 'doc_id', 'text')} "
                         "SELECT key AS doc_id, compound, label FROM lex")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf).select("doc_id", "text")
     scored = docs.select("doc_id", lexicon.compound_score("text", fx.LEXICON).alias("compound"))
     return scored.withColumn("label", lexicon.label_of(F.col("compound")))
 
@@ -68,13 +68,13 @@ def _scorers():
 
 @query("analyze_sentiment", _ANALYZED)
 def _(spark, sf):
-    df = fx.posts(spark, sf).select("post_id", F.col("content").alias("text"))
+    df = fx.posts(spark, sf, text_work=True).select("post_id", F.col("content").alias("text"))
     return registry.analyze_sentiment(df, _scorers(), "vader").select("post_id", "sentiment")
 
 
 @query("batch_analyze", _ANALYZED + " UNION ALL SELECT post_id, 'neutral' FROM posts")
 def _(spark, sf):
-    df = fx.posts(spark, sf).select("post_id", F.col("content").alias("text"))
+    df = fx.posts(spark, sf, text_work=True).select("post_id", F.col("content").alias("text"))
     both = df.unionByName(df.withColumn("text", F.lit("#!")))
     return registry.analyze_sentiment(both, _scorers(), "vader").select("post_id", "sentiment")
 
@@ -90,7 +90,7 @@ def _stub_labels():
   CAST(NULL AS VARCHAR) AS score_error FROM posts""")
 def _(spark, sf):
     text = F.when(F.col("value") < 1, None).when(F.col("value") < 2, " \n").otherwise(F.col("content"))
-    df = fx.posts(spark, sf).select("post_id", text.alias("content"))
+    df = fx.posts(spark, sf, text_work=True).select("post_id", text.alias("content"))
     scored = registry.score_posts(df, registry.model_scorer(_stub_labels))
     return scored.select("post_id", "sentiment", "score_error")
 
@@ -99,7 +99,7 @@ def _(spark, sf):
   list_extract(['negative', 'neutral', 'positive'], CAST(length(left(content, 512)) % 3 + 1 AS INTEGER))
   AS sentiment FROM posts""")
 def _(spark, sf):
-    df = fx.posts(spark, sf).select("post_id", "content")
+    df = fx.posts(spark, sf, text_work=True).select("post_id", "content")
     return registry.score_distinct(df, registry.model_scorer(_stub_labels)).select("post_id", "sentiment")
 
 
@@ -131,7 +131,7 @@ def _stub_logits():
          exp(n % 5) + exp(n % 7) + exp(n % 3) AS t FROM (
     SELECT doc_id, length(regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g')) AS n FROM documents))""")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf).select("doc_id", "text")
     s = docs.select("doc_id", batch.infer_batches("text", _stub_logits).alias("s"))
     return s.select("doc_id", "s.sentiment", *[
         F.round(f"s.{c}", 6).alias(c) for c in ("neg_score", "neu_score", "pos_score")])
@@ -244,7 +244,7 @@ FLAGSHIP = f"""WITH {fx.POSTS}, {lexicon_sql('posts', 'post_id', 'content')}, c
 
 @query("sentiment_by_country", FLAGSHIP)
 def sentiment_by_country(spark, sf):
-    posts = fx.posts(spark, sf).select(
+    posts = fx.posts(spark, sf, text_work=True).select(
         "post_id", "content", country_from_location("location_raw").alias("location"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
     scored = registry.score_posts(posts, registry.lexicon_scorer(fx.LEXICON))

@@ -68,7 +68,7 @@ _J7 = ("nicht", "que", "ing", "eau", "AI", "machine learning")
   FROM posts p JOIN terms t ON contains(lower(p.content), lower(t.search_term)))
   SELECT post_id, CAST(term_idx AS INTEGER) AS term_idx, search_term FROM m WHERE rn <= 100""")
 def _(spark, sf):
-    posts = fx.posts(spark, sf).select("post_id", "content", F.col("post_id").alias("pos"))
+    posts = fx.posts(spark, sf, text_work=True).select("post_id", "content", F.col("post_id").alias("pos"))
     found = joins.term_matches(posts, _J7).drop("content")
     return windows.limit_per_term(found).select("post_id", "term_idx", "search_term")
 
@@ -162,7 +162,7 @@ def _(spark, sf):
   'vader' AS model_used, 'AI' AS keyword FROM k""")
 def _(spark, sf):
     from postlab.operators.filters import keyword_any
-    df = agg.keyword_result(keyword_any(fx.posts(spark, sf), "content", ["AI"]), "AI", "vader")
+    df = agg.keyword_result(keyword_any(fx.posts(spark, sf, text_work=True), "content", ["AI"]), "AI", "vader")
     return df.withColumns({c: F.round(c, 6) for c in ("positive_pct", "negative_pct", "neutral_pct")})
 
 
@@ -202,13 +202,13 @@ _WORDS = fx.POSTS + rf""", enough AS (
 
 @query("word_frequency", f"WITH {_WORDS} SELECT * FROM freq")
 def _(spark, sf):
-    return agg.word_frequency(fx.posts(spark, sf), fx.STOP_WORDS)
+    return agg.word_frequency(fx.posts(spark, sf, text_work=True), fx.STOP_WORDS)
 
 
 @query("top_k_per_group", f"""WITH {_WORDS}, r AS (SELECT *, CAST(row_number() OVER (
   PARTITION BY sentiment ORDER BY n DESC, word) AS INTEGER) AS rank FROM freq) SELECT * FROM r WHERE rank <= 25""")
 def _(spark, sf):
-    return agg.top_words(fx.posts(spark, sf), fx.STOP_WORDS, 25)
+    return agg.top_words(fx.posts(spark, sf, text_work=True), fx.STOP_WORDS, 25)
 
 
 def _printable(cases):

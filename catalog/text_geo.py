@@ -171,7 +171,7 @@ _PICK = "CASE " + " ".join(
   SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 20 THEN 'unknown'
     WHEN greatest({', '.join(_NAMES)}) > 2 THEN {_PICK} ELSE 'english' END AS language FROM s""")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     return docs.select("doc_id", text.detect_language("text").alias("language"))
 
 
@@ -187,13 +187,13 @@ _CLEAN = _strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
 def _(spark, sf):
     raw = F.concat(F.lit("  @"), "username", F.lit(" #tag http://a.b/"),
                    F.col("post_id").cast("string"), F.lit("\n"), "content")
-    return fx.posts(spark, sf).select("post_id", text.clean_text(raw).alias("cleaned"))
+    return fx.posts(spark, sf, text_work=True).select("post_id", text.clean_text(raw).alias("cleaned"))
 
 
 @query("repair_mojibake", "SELECT doc_id, text FROM documents")
 def _(spark, sf):
     garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return fx.table(spark, sf, "documents").select("doc_id", text.repair_mojibake(garbled).alias("text"))
+    return fx.documents(spark, sf).select("doc_id", text.repair_mojibake(garbled).alias("text"))
 
 
 @query("scan_lenient_utf8", "SELECT doc_id, text || chr(65533) || '(' || lang AS text FROM documents")

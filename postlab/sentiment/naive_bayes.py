@@ -1,5 +1,10 @@
 """TF-IDF features and multinomial Naive Bayes as grouped aggregates.
 
+A document is one row (its key is unique), so its terms are counted inside the
+row: sorted n-grams, run lengths. No token is shuffled to be counted. What is
+shuffled are partial sums per term (vocabulary), the vocabulary terms of the
+training documents (their norm), and one partial sum per document (prediction).
+
 The vocabulary is limited to ``MAX_FEATURES`` terms, which bounds every table
 that is looked up here (vocabulary: 5,000 rows; model: 5,000 rows with one
 column per class). Those two are the only broadcasts.
@@ -39,13 +44,23 @@ def ngrams(text, stop_words: Sequence[str]) -> Column:
     return let(words, with_pairs)
 
 
+def counted_ngrams(text, stop_words: Sequence[str]) -> Column:
+    """Array of (term, tf): each distinct n-gram of a text with its count."""
+
+    def run_lengths(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(
+            ordered, lambda x, i: F.when(~x.eqNullSafe(F.get(ordered, i - 1)), i)))
+        return let(starts, lambda at: F.transform(at, lambda s, j: F.struct(
+            F.get(ordered, s).alias("term"),
+            (F.coalesce(F.get(at, j + 1), F.size(ordered)) - s).cast("long").alias("tf"))))
+
+    return let(F.sort_array(ngrams(text, stop_words)), run_lengths)
+
+
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str],
                 carry: Sequence[str] = ()) -> DataFrame:
-    """Count per (document, term); rows of a document meet in its own task first."""
-    terms = docs.select(key, *carry, F.explode(ngrams(text, stop_words)).alias("term"))
-    # stated here so that every use of the counts has the same plan and shares its shuffle
-    terms = terms.where(F.col("term").isNotNull())
-    return terms.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """One row per (document, distinct term) with its count; a narrow operation."""
+    return docs.select(key, *carry, F.inline(counted_ngrams(text, stop_words)))
 
 
 def vocabulary(counts: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -132,22 +147,19 @@ def train_naive_bayes(docs: DataFrame, key: str, text: str, label: str,
 def predict_naive_bayes(docs: DataFrame, model: NaiveBayesModel, key: str, text: str) -> DataFrame:
     """(document, prediction, one joint log likelihood per class).
 
-    The dot products and the row norm come from one grouped pass. Terms outside
-    the vocabulary fold into one null term, so a document without any known
-    term survives and gets the prior.
+    The dot products and the row norm come from one grouped pass, whose map side
+    already folds a document into one row. A document without any known term
+    keeps a row of nulls and gets the prior.
     """
-    known = model.terms.select(F.col("term").alias("known"))
-    terms = docs.select(key, F.explode_outer(ngrams(text, model.stop_words)).alias("token"))
-    counts = (terms.join(F.broadcast(known), F.col("token") == F.col("known"), "left")
-              .groupBy(key, "known").agg(F.count(F.lit(1)).alias("tf")))
-    # the weights join after the count, so the shuffle carries (key, term, tf) only
-    weighted = counts.join(F.broadcast(model.terms.withColumnRenamed("term", "known")), "known", "left")
+    terms = docs.select(key, F.inline_outer(counted_ngrams(text, model.stop_words)))
+    weighted = terms.join(F.broadcast(model.terms), "term", "left")
     raw = F.col("tf") * F.col("idf")
     sums = weighted.groupBy(key).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),
         *[F.sum(raw * F.col(name)).alias(name) for name in model.labels])
+    prior = model.priors.select(F.struct(*model.labels).alias("p")).scalar()   # one row, one subquery
     scores = sums.select(key, *[
-        (model.priors.select(name).scalar()
+        (prior[name]
          + F.coalesce(F.col(name) / F.col("_norm"), F.lit(0.0))).alias(name)
         for name in model.labels])
     # a class without training rows has no prior and cannot win

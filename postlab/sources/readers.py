@@ -17,6 +17,21 @@ from postlab.operators.joins import join_place
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def spread(scan: DataFrame, key: str, per_core: int = 1) -> DataFrame:
+    """Give a scan with too few tasks one task per core, by hash of ``key``.
+
+    A compressed or multi-line file, or a file with one row group, is read by
+    one task, and per-row text work would then run on one core. Input of a size
+    worth a cluster has more splits than cores and passes through unchanged. Only
+    for frames that are plain scans: counting the splits of anything else would
+    run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > cores:
+        return scan
+    return scan.repartition(cores * per_core, key)
+
+
 def _names(schema: T.StructType) -> list[str]:
     return [field.name for field in schema.fields]
 
