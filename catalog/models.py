@@ -80,8 +80,14 @@ def _(spark, sf):
 
 
 def _stub_labels():
-    """A stand-in for a user's model: label by length of the text it is given."""
-    return lambda texts: [["Negative", "Neutral", "Positive"][len(t) % 3] for t in texts]
+    """A stand-in for a user's model: label by length of the text it is given.
+
+    Built inside a function, so it travels to the workers by value.
+    """
+    def factory():
+        return lambda texts: [["Negative", "Neutral", "Positive"][len(t) % 3] for t in texts]
+
+    return factory
 
 
 @query("score_posts", f"""WITH {fx.POSTS} SELECT post_id,
@@ -91,7 +97,7 @@ def _stub_labels():
 def _(spark, sf):
     text = F.when(F.col("value") < 1, None).when(F.col("value") < 2, " \n").otherwise(F.col("content"))
     df = fx.posts(spark, sf, text_work=True).select("post_id", text.alias("content"))
-    scored = registry.score_posts(df, registry.model_scorer(_stub_labels))
+    scored = registry.score_posts(df, registry.model_scorer(_stub_labels()))
     return scored.select("post_id", "sentiment", "score_error")
 
 
@@ -100,7 +106,7 @@ def _(spark, sf):
   AS sentiment FROM posts""")
 def _(spark, sf):
     df = fx.posts(spark, sf, text_work=True).select("post_id", "content")
-    return registry.score_distinct(df, registry.model_scorer(_stub_labels)).select("post_id", "sentiment")
+    return registry.score_distinct(df, registry.model_scorer(_stub_labels())).select("post_id", "sentiment")
 
 
 _SOFT = """SELECT event_id AS row_id, sentiment, round(e0 / t, 6) AS neg_score, round(e1 / t, 6) AS neu_score,
@@ -121,7 +127,10 @@ def _(spark, sf):
 
 
 def _stub_logits():
-    return lambda texts: [[len(t) % 5, len(t) % 7, len(t) % 3] for t in texts]
+    def factory():
+        return lambda texts: [[len(t) % 5, len(t) % 7, len(t) % 3] for t in texts]
+
+    return factory
 
 
 @query("batch_inference", r"""SELECT doc_id, round(e0 / t, 6) AS neg_score, round(e1 / t, 6) AS neu_score,
@@ -132,7 +141,7 @@ def _stub_logits():
     SELECT doc_id, length(regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g')) AS n FROM documents))""")
 def _(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id", "text")
-    s = docs.select("doc_id", batch.infer_batches("text", _stub_logits).alias("s"))
+    s = docs.select("doc_id", batch.infer_batches("text", _stub_logits()).alias("s"))
     return s.select("doc_id", "s.sentiment", *[
         F.round(f"s.{c}", 6).alias(c) for c in ("neg_score", "neu_score", "pos_score")])
 
