@@ -275,7 +275,7 @@ def _(spark, sf):
   ORDER BY CAST('0x' || left(md5('42:' || CAST(event_id AS VARCHAR)), 15) AS BIGINT), event_id LIMIT 5000""")
 def _(spark, sf):
     events = fx.table(spark, sf, "events").select("event_id", "user_id", "value")
-    return sampling.sample_n(events, 5000, "event_id")
+    return sampling.sample_n(events, 5000, "event_id", portable=True)
 
 
 @query("trim_total", f"WITH {fx.HITS} SELECT post_id, term_idx, pos FROM hits ORDER BY term_idx, pos LIMIT 500")

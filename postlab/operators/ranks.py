@@ -16,7 +16,10 @@ BUCKETS = 4096
 
 
 class RankSearch:
-    """Finds values by rank in one numeric column; nulls do not count."""
+    """Finds values by rank in one numeric column; nulls do not count.
+
+    ``low`` and ``high`` must enclose all values; ``measure()`` finds them.
+    """
 
     def __init__(self, df: DataFrame, column: str, low=None, high=None):
         self.values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
@@ -65,7 +68,8 @@ class RankSearch:
                 return None
             if below + row["n"] <= rank + slack:
                 return row["hi"]
-            # both ends of the range lie in different buckets: always progress
+            # after one pass both ends are real values and lie in different
+            # buckets, so the range shrinks every time
             low, high = row["lo"], row["hi"]
         return low
 

@@ -26,24 +26,31 @@ def preview(df: DataFrame, *order: str, n: int = 3) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_order(key: str, seed: int = 42) -> Column:
-    """Random-looking but repeatable order: 60 bits of md5(seed:key)."""
+def sample_order(key: str, seed: int = 42, portable: bool = False) -> Column:
+    """Random-looking but repeatable 64-bit order of the rows.
+
+    ``portable`` takes 60 bits of md5(seed:key), which any SQL engine can
+    repeat; the default hash is several times faster.
+    """
+    if not portable:
+        return F.xxhash64(F.lit(seed), F.col(key))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, portable: bool = False) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones in every run.
 
     A plain ``orderBy(hash).limit(n)`` sends n rows of every input task to one
     reducer. Finding the hash value near rank n first lets each task drop all
     other rows, so about n rows are sorted in total.
     """
-    hashed = df.withColumn("_order", sample_order(key, seed))
-    search = RankSearch(hashed, "_order")
-    if search.measure() <= n:
+    hashed = df.withColumn("_order", sample_order(key, seed, portable))
+    low, high = (0, 2**60 - 1) if portable else (-2**63, 2**63 - 1)
+    bound = RankSearch(hashed, "_order", low, high).value_at(n, slack=max(n, 1000))
+    if bound is None:               # fewer than n rows: the sample is everything
         return df
-    near = hashed.where(F.col("_order") <= F.lit(search.value_at(n, slack=max(n, 1000))))
+    near = hashed.where(F.col("_order") <= F.lit(bound))
     return near.orderBy("_order", key).limit(n).drop("_order")
 
 

@@ -40,6 +40,9 @@ def test_sample_is_exact_and_repeatable(spark):
     assert len(a) == 1234 and a == b == {r[0] for r in plain.collect()}
     assert a != {r[0] for r in sampling.sample_n(df, 1234, "id", seed=7).collect()}
     assert sampling.sample_n(df, 10**9, "id").count() == 50_000
+    c = {r[0] for r in sampling.sample_n(df, 1234, "id", portable=True).collect()}
+    assert len(c) == 1234 and c != a
+    assert sampling.sample_n(df.limit(0), 5, "id").count() == 0 == sampling.sample_n(df, 0, "id").count()
 
 
 def test_sample_of_copies(spark):

@@ -42,6 +42,18 @@ def test_dedupe_over_polls(poll):
     assert sorted(r.post_id for r in out.collect()) == list(range(30))
 
 
+def test_endless_copies_are_dropped_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, "x")] * 5000 + [(None, "y")] * 50 + [(2, "z")], "post_id long, v string").coalesce(1)
+    rows_left = streams.first_copies(df, "post_id").collect()
+    assert {(r.post_id, r.v) for r in rows_left} == {(1, "x"), (None, "y"), (2, "z")} and len(rows_left) <= 6
+
+
+@pytest.mark.parametrize("combine", [True, False])
+def test_copies_in_one_poll(poll, combine):
+    out = poll(rows(0, 5) * 40, lambda s: streams.stream_dedupe_posts(s, lateness="10 days", combine=combine))
+    assert sorted(r.post_id for r in out.collect()) == list(range(5))
+
+
 def test_user_cap_over_polls(poll):
     def build(s):
         return streams.stream_user_cap(s, k=3)
