@@ -25,10 +25,11 @@ def _(spark, sf):
 @query("join_user_location", f"""WITH {fx.TWEETS}, users AS (
   SELECT CAST(user_id AS VARCHAR) AS author_id, nullif(arg_min(
     CASE WHEN search_term = 'view' THEN '' ELSE location_raw END, post_id), '') AS user_location
-  FROM posts WHERE user_id % 4 <> 0 GROUP BY 1)
+  FROM posts WHERE search_term <> 'signup' GROUP BY 1)
   SELECT id, author_id, user_location FROM tweets LEFT JOIN users USING (author_id)""")
 def _(spark, sf):
-    users = fx.posts(spark, sf).where(F.col("user_id") % 4 != 0).select(
+    # profiles are known for users with any post but a signup
+    users = fx.posts(spark, sf).where(F.col("search_term") != "signup").select(
         F.col("user_id").cast("string").alias("id"),
         F.when(F.col("search_term") == "view", "").otherwise(F.col("location_raw")).alias("location"),
         F.col("post_id").alias("ord"))

@@ -36,9 +36,12 @@ def extract_location_patterns(description, profile: str = "v1") -> Column:
 
     text = F.coalesce(_col(description), F.lit(""))
     # filter() keeps each value to one evaluation; coalesce stops at the first hit
-    hits = [F.get(F.filter(F.array(_cue_value(text, cue)), usable), F.lit(0))
-            for cue in rules.LOCATION_CUES[profile]]
-    return F.substring(F.coalesce(*hits), 1, rules.LOCATION_MAX_CHARS)
+    cues = rules.LOCATION_CUES[profile]
+    hits = [F.get(F.filter(F.array(_cue_value(text, cue)), usable), F.lit(0)) for cue in cues]
+    value = F.substring(F.coalesce(*hits), 1, rules.LOCATION_MAX_CHARS)
+    # most texts hold no cue at all: one search tells
+    any_cue = "|".join(re.escape(cue) for cue in cues)
+    return F.when(text.rlike(f"(?iU){any_cue}"), value)
 
 
 def location_from_handle(handle, profile: str = "v1") -> Column:

@@ -23,6 +23,7 @@ from postlab import rules
 from postlab.functions.text import WORD_CHARS, _col, let, tokens
 
 MAX_FEATURES = 5000
+MAX_BROADCAST_ROWS = 100_000
 ALPHA = 0.1
 
 
@@ -71,6 +72,12 @@ def vocabulary(counts: DataFrame, n_docs: Column, max_features: int = MAX_FEATUR
     return top.select("term", "corpus_tf", "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _lookup_side(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a vocabulary-sized table while its row bound allows it; a larger
+    one is left to the measured size and a shuffle join."""
+    return F.broadcast(table) if rows <= MAX_BROADCAST_ROWS else table
+
+
 def _doc_count(docs: DataFrame) -> Column:
     return docs.agg(F.count(F.lit(1)).alias("n")).scalar()
 
@@ -83,7 +90,7 @@ def tfidf_features(docs: DataFrame, key: str, text: str, stop_words: Sequence[st
     """
     counts = term_counts(docs, key, text, stop_words, carry)
     vocab = vocabulary(counts, _doc_count(docs), max_features).select("term", "idf")
-    raw = (counts.join(F.broadcast(vocab), "term")
+    raw = (counts.join(_lookup_side(vocab, max_features), "term")
            .select(key, *carry, "term", (F.col("tf") * F.col("idf")).alias("raw")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, *carry, "term", (F.col("raw") / norm).alias("weight"))
@@ -98,6 +105,7 @@ class NaiveBayesModel:
     priors: DataFrame
     labels: Sequence[str]
     stop_words: Sequence[str]
+    max_features: int      # bound on the rows of ``terms``
 
     def save(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -106,8 +114,9 @@ class NaiveBayesModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str, stop_words: Sequence[str],
              labels: Sequence[str] = rules.LABELS) -> NaiveBayesModel:
-        return cls(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors"),
-                   labels, stop_words)
+        terms = spark.read.parquet(f"{path}/terms")
+        # the row count comes from the file footers
+        return cls(terms, spark.read.parquet(f"{path}/priors"), labels, stop_words, terms.count())
 
     def tall(self) -> DataFrame:
         """(term, label, log_prob)."""
@@ -124,7 +133,7 @@ def train_naive_bayes(docs: DataFrame, key: str, text: str, label: str,
     """
     counts = term_counts(docs, key, text, stop_words, [label])
     vocab = vocabulary(counts, _doc_count(docs), max_features).select("term", "idf")
-    raw = (counts.join(F.broadcast(vocab), "term")
+    raw = (counts.join(_lookup_side(vocab, max_features), "term")
            .select(key, label, "term", "idf", (F.col("tf") * F.col("idf")).alias("raw")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     weighted = raw.withColumn("weight", F.col("raw") / norm)
@@ -141,7 +150,7 @@ def train_naive_bayes(docs: DataFrame, key: str, text: str, label: str,
         for name in labels])
     priors = docs.agg(*[
         F.log(F.count_if(F.col(label) == name) / F.count(F.lit(1))).alias(name) for name in labels])
-    return NaiveBayesModel(terms, priors, list(labels), list(stop_words))
+    return NaiveBayesModel(terms, priors, list(labels), list(stop_words), max_features)
 
 
 def predict_naive_bayes(docs: DataFrame, model: NaiveBayesModel, key: str, text: str) -> DataFrame:
@@ -152,7 +161,7 @@ def predict_naive_bayes(docs: DataFrame, model: NaiveBayesModel, key: str, text:
     keeps a row of nulls and gets the prior.
     """
     terms = docs.select(key, F.inline_outer(counted_ngrams(text, model.stop_words)))
-    weighted = terms.join(F.broadcast(model.terms), "term", "left")
+    weighted = terms.join(_lookup_side(model.terms, model.max_features), "term", "left")
     raw = F.col("tf") * F.col("idf")
     sums = weighted.groupBy(key).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),
