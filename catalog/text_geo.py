@@ -11,8 +11,6 @@ from postlab.functions import geo, text
 from postlab.operators.joins import join_place
 from postlab.operators.terms import skip_similar_terms
 
-WS = r"[\s]"
-
 
 def _strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"

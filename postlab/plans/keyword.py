@@ -9,7 +9,6 @@ from postlab import rules
 from postlab.functions.labels import label_colour
 from postlab.operators.aggregates import keyword_result
 from postlab.operators.filters import tweet_predicate
-from postlab.operators.sampling import trim_total
 from postlab.sentiment.registry import Scorer, analyze_sentiment
 from postlab.sources.readers import ingest_tweets
 
