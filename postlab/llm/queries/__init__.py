@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("quality", "private")
+_MODULES = ("quality", "private", "mixing")
 
 for _name in _MODULES:
     _module = importlib.import_module(f"{__name__}.{_name}")
