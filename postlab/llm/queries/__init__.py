@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("quality", "private", "mixing")
+_MODULES = ("quality", "private", "mixing", "huffman")
 
 for _name in _MODULES:
     _module = importlib.import_module(f"{__name__}.{_name}")
