@@ -15,6 +15,12 @@ from postlab.llm.tokens import encoder
 BATCH_BYTES = 16 << 20
 
 
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Parts of batches as one batch of its own: some string kernels misread columns that start inside a buffer."""
+    whole = pa.Table.from_batches(parts)
+    return whole.take(pa.array(np.arange(whole.num_rows))).combine_chunks().to_batches()[0]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut or join batches so that each holds about ``limit`` bytes of a text column."""
     held: list[pa.RecordBatch] = []
@@ -26,12 +32,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             size += n
             if size >= limit:
                 held.append(batch.slice(start, i + 1 - start))
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                yield joined(held)
                 held, size, start = [], 0, i + 1
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield joined(held)
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlab.llm.encoded import id_width, ids_of, token_ids
+from postlab.llm.encoded import id_width, ids_of, joined, token_ids
 from postlab.llm.store import stored
 
 BLOCK = 512
@@ -168,7 +168,7 @@ def write_encoded(docs: DataFrame, path: str, tokenizer: str, end: int, key: str
         held: list[pa.RecordBatch] = []
 
         def row() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            rows = joined(held)
             ids, counts = ids_of(rows["ids"], width)
             payload, checkpoints = encode_blocks(ids, bits, codes)
             one = lambda kind, v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(kind))
