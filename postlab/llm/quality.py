@@ -146,6 +146,6 @@ def clean_lines(docs: DataFrame, text: str = "text", min_words: int = 20, max_re
     counted = counted.withColumn("base_failed", (F.col("n_words") < min_words)
                                  | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     lost = F.col("word_chars") - F.col("kept_chars")
-    return counted.select(
-        *keep, *RESULT[:-1],
-        (~F.col("base_failed") & (100 * lost <= max_lost * F.col("word_chars"))).alias("kept"))
+    kept = ~F.col("base_failed") & (100 * lost <= max_lost * F.col("word_chars"))
+    # as the fields of one generated row: a filter on the verdict then stays above the work instead of repeating it
+    return counted.select(F.inline(F.array(F.struct(*keep, *RESULT[:-1], kept.alias("kept")))))
