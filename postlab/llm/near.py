@@ -4,7 +4,7 @@
    class (pre-aggregated), and everything below works on one text per class.
 2. A HyperMinHash sketch has 256 registers. The first 8 bits of a hash choose the register, which keeps the smallest
    rest in 16 bits: the number of its leading zeros and the 10 bits behind the first one.
-3. 32 bands of 8 registers are hashed; classes that agree in a band (not all empty) are candidates. For similarity
+3. 32 bands of 8 registers are hashed; classes that agree in a band are candidates. For similarity
    0.85 a band agrees with probability 0.27, so that no band of 32 does with probability 4e-5.
 4. Members of a band are compared with one leader of the band, not with each other. An estimate from the sketches,
    corrected for registers that agree by chance, drops hopeless pairs; all others are verified on full sets. Those
@@ -35,36 +35,48 @@ from postlab.llm.shingles import mixed, shingle_sets
 from postlab.llm.store import stored
 
 REGISTERS, MANTISSA, BANDS = 256, 10, 32
-EMPTY = np.uint16(0xFFFF)
-SMALL = 16
+#: Values that fall on the registers of a small set in all passes, and the most passes.
+FILL, PASSES = 2560, 200
+SMALL = 64
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of ascending hashes."""
-    out = np.full(REGISTERS, EMPTY)
-    place = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(hashes) else []
-    rest = (hashes[first] << np.uint64(8)) | np.uint64(0x80)        # a first one is always found
-    zeros = 63 - np.floor(np.log2((rest >> np.uint64(11)).astype(np.float64) + 0.5)).astype(np.int64) - 11
-    zeros = np.clip(zeros, 0, 62 - MANTISSA)
+    """HyperMinHash registers of a set of hashes.
+
+    A small set is hashed again with other seeds, pass after pass, until about ten of its values have fallen on each
+    register; a register keeps the smallest of the first pass that reached it. So registers of small sets are
+    as selective as those of large ones: two sets agree in one with the probability of their similarity. What is still
+    empty takes the next full register.
+    """
+    passes = min(PASSES, max(1, -(-FILL // max(len(hashes), 1))))
+    seeds = np.arange(passes, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    again = mixed(hashes[None, :] + seeds[:, None]) if passes > 1 else hashes[None, :]
+    place = (again >> np.uint64(56)).astype(np.int64).ravel()
+    keyed = (again & np.uint64((1 << 56) - 1)) | (np.arange(passes, dtype=np.uint64)[:, None] << np.uint64(56))
+    least = np.full(REGISTERS, np.iinfo(np.uint64).max)
+    np.minimum.at(least, place, keyed.ravel())
+    full = least != np.iinfo(np.uint64).max
+    rest = (least << np.uint64(8)) | np.uint64(0x80)               # a first one is always found
+    zeros = np.clip(52 - np.floor(np.log2((rest >> np.uint64(11)).astype(np.float64) + 0.5)).astype(np.int64), 0, 62 - MANTISSA)
     after = (rest << zeros.astype(np.uint64)) << np.uint64(1)
-    out[place[first]] = (zeros << MANTISSA).astype(np.uint16) | (after >> np.uint64(64 - MANTISSA)).astype(np.uint16)
+    out = (zeros << MANTISSA).astype(np.uint16) | (after >> np.uint64(64 - MANTISSA)).astype(np.uint16)
+    if not full.all():
+        filled = np.flatnonzero(full)
+        out = out[filled[np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)]]
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity of sketches (one pair per row), corrected for chance, and the registers in use.
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of sketches (one pair per row), corrected for chance.
 
     Registers of unlike minima agree by chance with a share of about 0.1699 * 2 ** -MANTISSA * 4 r / (1 + r) ** 2, where r
     is the ratio of the set sizes: the published approximation of HyperMinHash's expected collisions.
     """
-    used = (a != EMPTY) | (b != EMPTY)
-    agree = (a == b) & used
-    total = np.maximum(used.sum(axis=1), 1)
+    agree = a == b
     ratio = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
     chance = 0.1699 * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
-    share = agree.sum(axis=1) / total
-    return np.clip((share - chance) / (1 - chance), 0, 1), total
+    share = agree.mean(axis=1)
+    return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
 def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,7 +103,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``band``, ``node`` for every band that isn't all empty."""
+    """``band``, ``node`` for every band."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +113,8 @@ def _bands(classes: DataFrame) -> DataFrame:
             hashed = np.zeros(registers.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(registers.shape[2]):
                 hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + registers[:, :, k].astype(np.uint64))
-            row, band = np.nonzero((registers != EMPTY).any(axis=2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed[row, band].view(np.int64)), batch["node"].take(pa.array(row))], ["band", "node"])
+            nodes = batch["node"].take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64).ravel()), nodes], ["band", "node"])
 
     return classes.select("node", "sketch").mapInArrow(made, "band long, node long")
 
@@ -116,8 +127,10 @@ def _hopeful(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            got, used = estimate(a, b, np.asarray(batch["na"]), np.asarray(batch["nb"]))
-            keep = got >= floor - 6 * np.sqrt(floor * (1 - floor) / used)
+            got = estimate(a, b, np.asarray(batch["na"]), np.asarray(batch["nb"]))
+            # sets of few values fill several registers with one of them, so less can be told apart
+            apart = np.minimum(REGISTERS, np.minimum(batch["na"], batch["nb"]))
+            keep = got >= floor - 6 * np.sqrt(floor * (1 - floor) / apart)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     side = lambda s: sketches.select(F.col("node").alias(s), F.col("sketch").alias(f"s{s}"), F.col("n").alias(f"n{s}"))
@@ -171,40 +184,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     linked = F.col("both") * 100 >= F.col("either") * percent
     # beyond this distance from the leader nothing linked to the leader can be near
     reach = 1 - 2 * (1 - percent / 100)
-    links = stored(active.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "near-links")
-    labels = members.select("node", F.col("node").alias("label"))
+    links = active.select(F.col("node").alias("a"), F.col("node").alias("b")).filter(F.lit(False))
 
     while not active.isEmpty():
         size = stored(active.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
                       .filter("members > 1"), "near-size")
         active = stored(active.join(size, "band"), "near-active")
-        apart = lambda pairs: (  # noqa: E731  pairs that are not connected yet
-            pairs.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a")
-            .join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b").filter("la <> lb").select("a", "b"))
         few = active.filter(F.col("members") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
         few = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
-        few = few.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b")).distinct()
+        few = few.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
         star = active.filter((F.col("members") > SMALL) & (F.col("node") != F.col("leader")))
-        pairs = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        judged = stored(_verified(stored(_hopeful(pairs, members, reach), "near-pairs"), sets), "near-judged")
-        links = stored(links.union(judged.filter(linked).select("a", "b")), "near-links")
-        if not judged.isEmpty():
-            labels = components(members.select("node"), links)
+        pairs = few.union(star.select(F.col("leader").alias("a"), F.col("node").alias("b"))).distinct()
+        judged = stored(_verified(_hopeful(pairs, members, reach), sets), "near-judged")
+        links = links.union(judged.filter(linked).select("a", "b"))
 
         against = star.join(judged.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"], "left")
         against = stored(against.select("band", "node", "both", "either", F.coalesce(linked, F.lit(False)).alias("linked"),
                                         (1 - F.col("both") / F.col("either")).alias("away")), "near-against")
         close = against.filter(~F.col("linked") & (F.col("both") >= F.col("either") * reach)).select(
             "band", F.col("node").alias("a"), F.col("away").alias("away_a"))
-        inner = against.filter("linked").select("band", F.col("node").alias("b"), F.col("away").alias("away_b"))
-        edge = close.join(inner, "band").filter(F.col("away_b") >= F.col("away_a") - (1 - percent / 100) - 1e-9)
-        more = stored(apart(few.union(edge.select("a", "b").distinct())), "near-pairs")
-        more = stored(_verified(stored(_hopeful(more, members, percent / 100), "near-pairs"), sets), "near-judged")
-        if not more.filter(linked).isEmpty():
-            links = stored(links.union(more.filter(linked).select("a", "b")), "near-links")
-            labels = components(members.select("node"), links)
+        if not close.isEmpty():
+            inner = against.filter("linked").select("band", F.col("node").alias("b"), F.col("away").alias("away_b"))
+            edge = close.join(inner, "band").filter(F.col("away_b") >= F.col("away_a") - (1 - percent / 100) - 1e-9)
+            labels = components(members.select("node"), links, rounds=2)
+            edge = edge.select("a", "b").distinct().join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
+                labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b").filter("la <> lb").select("a", "b")
+            more = stored(_verified(_hopeful(edge, members, percent / 100), sets), "near-judged")
+            links = links.union(more.filter(linked).select("a", "b"))
         active = against.filter(~F.col("linked")).select("band", "node")
 
+    labels = components(members.select("node"), links)
     groups = labels.join(members.select("node", "key"), "node").groupBy("label").agg(F.min("key").alias("component"))
     groups = stored(labels.join(groups, "label").select("node", "component"), "near-groups")
     own = classes.select("node", F.col("key").alias("class_key")).join(groups, "node", "left").select(
