@@ -92,7 +92,7 @@ def _stub_labels():
 
 @query("score_posts", f"""WITH {fx.POSTS} SELECT post_id,
   CASE WHEN value < 2 THEN 'neutral' ELSE list_extract(['negative', 'neutral', 'positive'],
-       CAST(length(left(content, 512)) % 3 + 1 AS INTEGER)) END AS sentiment,
+       CAST(length(content) % 3 + 1 AS INTEGER)) END AS sentiment,
   CAST(NULL AS VARCHAR) AS score_error FROM posts""")
 def _(spark, sf):
     text = F.when(F.col("value") < 1, None).when(F.col("value") < 2, " \n").otherwise(F.col("content"))
@@ -102,7 +102,7 @@ def _(spark, sf):
 
 
 @query("score_distinct", f"""WITH {fx.POSTS} SELECT post_id,
-  list_extract(['negative', 'neutral', 'positive'], CAST(length(left(content, 512)) % 3 + 1 AS INTEGER))
+  list_extract(['negative', 'neutral', 'positive'], CAST(length(content) % 3 + 1 AS INTEGER))
   AS sentiment FROM posts""")
 def _(spark, sf):
     df = fx.posts(spark, sf, text_work=True).select("post_id", "content")

@@ -64,14 +64,13 @@ _J7 = ("nicht", "que", "ing", "eau", "AI", "machine learning")
 
 @query("term_match_join", f"""WITH {fx.POSTS}, terms(term_idx, search_term) AS (VALUES
   {', '.join(f"({i}, '{t}')" for i, t in enumerate(_J7))}), m AS (
-  SELECT p.post_id, t.term_idx, t.search_term,
-         row_number() OVER (PARTITION BY t.term_idx ORDER BY p.post_id) AS rn
+  SELECT p.post_id, t.term_idx, t.search_term
   FROM posts p JOIN terms t ON contains(lower(p.content), lower(t.search_term)))
-  SELECT post_id, CAST(term_idx AS INTEGER) AS term_idx, search_term FROM m WHERE rn <= 100""")
+  SELECT post_id, CAST(term_idx AS INTEGER) AS term_idx, search_term FROM m""")
 def _(spark, sf):
     posts = fx.posts(spark, sf, text_work=True).select("post_id", "content", F.col("post_id").alias("pos"))
     found = joins.term_matches(posts, _J7).drop("content")
-    return windows.limit_per_term(found).select("post_id", "term_idx", "search_term")
+    return found.select("post_id", "term_idx", "search_term")
 
 
 @query("anti_seen_posts", f"""WITH {fx.POSTS} SELECT post_id, username FROM posts
@@ -181,10 +180,10 @@ def _(spark, sf):
 
 
 @query("geocode_stats", _GEOCODED + """, k AS (
-  SELECT lower(regexp_replace(location_str, '^\\s+|\\s+$', '', 'g')) AS key, latitude FROM geo
+  SELECT location_str, lower(regexp_replace(location_str, '^\\s+|\\s+$', '', 'g')) AS key, latitude FROM geo
   WHERE regexp_matches(location_str, '[^\\s]'))
-  SELECT count(DISTINCT key) AS unique_locations,
-         count(DISTINCT CASE WHEN latitude IS NOT NULL THEN key END) AS geocoded_locations,
+  SELECT count(DISTINCT location_str) AS unique_locations, count(DISTINCT key) AS unique_keys,
+         count(DISTINCT CASE WHEN latitude IS NOT NULL THEN location_str END) AS geocoded_locations,
          count(latitude) AS final_rows, count(*) - count(latitude) AS removed_rows FROM k""")
 def _(spark, sf):
     from postlab.operators.filters import drop_blank
@@ -376,7 +375,7 @@ def _(spark, sf):
 @query("limit_per_term", f"""WITH {fx.HITS}, r AS (SELECT {_HIT_COLUMNS}, match, row_number() OVER (
   PARTITION BY term_idx ORDER BY pos) AS rn FROM hits) SELECT {_HIT_COLUMNS}, match FROM r WHERE rn <= 100""")
 def _(spark, sf):
-    return windows.limit_per_term(_narrow_hits(spark, sf))
+    return windows.limit_per_term(_narrow_hits(spark, sf), 100)
 
 
 @query("percent_of_total", f"""WITH {fx.POSTS}, c AS (SELECT location_raw, count(*) AS posts FROM posts GROUP BY 1)
@@ -387,16 +386,14 @@ def _(spark, sf):
 
 
 @query("collect_v3", f"""WITH {fx.HITS}, k AS (SELECT post_id, term_idx, pos, username,
-    {' OR '.join(f"contains(lower(content), '{k.lower()}')" for k in rules.TOPIC_KEYWORDS)} AS m,
-    row_number() OVER (PARTITION BY term_idx ORDER BY pos) AS trn FROM hits), a AS (
+    {' OR '.join(f"contains(lower(content), '{k.lower()}')" for k in rules.TOPIC_KEYWORDS)} AS m FROM hits), a AS (
   SELECT *, min(CASE WHEN m THEN {{'t': term_idx, 'p': pos}} END) OVER (PARTITION BY username) AS f
-  FROM k WHERE trn <= 100), b AS (
+  FROM k), b AS (
   SELECT *, row_number() OVER (PARTITION BY term_idx, username ORDER BY pos) AS cnt FROM a
   WHERE {{'t': term_idx, 'p': pos}} >= f)
-  SELECT post_id, term_idx, username, CAST(cnt AS INTEGER) AS user_post_count FROM b WHERE m AND cnt <= 2
-  ORDER BY term_idx, pos LIMIT 500""")
+  SELECT post_id, term_idx, username, CAST(cnt AS INTEGER) AS user_post_count FROM b WHERE m AND cnt <= 2""")
 def _(spark, sf):
     from postlab.plans.collect import collect_posts
-    kept = collect_posts(fx.hits(spark, sf).drop("match"), fx.profiles(spark, sf), "v3", total=500)
+    kept = collect_posts(fx.hits(spark, sf).drop("match"), fx.profiles(spark, sf), "v3")
     return kept.select("post_id", "term_idx", "username", "user_post_count")
 

@@ -3,7 +3,8 @@
 All lookups are equi joins from a fact frame (left) to a table with one row per
 key. No broadcast is forced: Catalyst broadcasts a side only when its measured
 size is below ``spark.sql.autoBroadcastJoinThreshold``, and otherwise runs a
-sort-merge join in which AQE splits a heavy key of the left side. The constant
+sort-merge join. Right sides with one row per key are stored first: a join would
+reuse the partitions of their aggregate, and AQE could not split a heavy key then. The constant
 rule tables (at most 29 entries) are map literals and need no join at all.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postlab.functions.geo import location_key
 from postlab.functions.text import let
+from postlab.session import stored_table
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,6 +34,7 @@ def join_place(tweets: DataFrame, places: DataFrame) -> DataFrame:
         F.col("full_name").alias("place_full_name"),
         F.col("country_code").alias("place_country_code"),
         F.col("geo.bbox").alias("place_bbox"))
+    dim = stored_table(dim, "places")
     return (tweets.join(dim, F.col("geo.place_id") == F.col("_place_id"), "left")
             .drop("_place_id"))
 
@@ -41,21 +44,22 @@ def join_user_location(tweets: DataFrame, users: DataFrame) -> DataFrame:
     dim = first_per_key(users, "id", "ord").select(
         F.col("id").alias("author_id"),
         F.nullif(F.col("location"), F.lit("")).alias("user_location"))
-    return tweets.join(dim, "author_id", "left")
+    return tweets.join(stored_table(dim, "user-locations"), "author_id", "left")
 
 
 def join_profile(posts: DataFrame, profiles: DataFrame, handle: str = "username") -> DataFrame:
     """Add the profile text of the author; ``''`` when there is no profile."""
     dim = (profiles.groupBy("handle").agg(F.min("description").alias("description"))
            .withColumnRenamed("handle", handle))
-    return (posts.join(dim, handle, "left")
+    return (posts.join(stored_table(dim, "profiles"), handle, "left")
             .withColumn("description", F.coalesce("description", F.lit(""))))
 
 
 def geocode_join(df: DataFrame, gazetteer: DataFrame, column: str = "location_str") -> DataFrame:
     """Add latitude and longitude by normalised location; misses stay null."""
     dim = gazetteer.groupBy(F.col("location_key").alias("_key")).agg(
-        F.min_by("longitude", "latitude").alias("longitude"), F.min("latitude").alias("latitude"))
+        F.min(F.struct("latitude", "longitude")).alias("_at"))
+    dim = stored_table(dim.select("_key", "_at.latitude", "_at.longitude"), "gazetteer")
     return (df.withColumn("_key", location_key(column))
             .join(dim, "_key", "left").drop("_key"))
 

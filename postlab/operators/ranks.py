@@ -33,10 +33,10 @@ class RankSearch:
         return n
 
     def _bucket(self, low, high) -> Column:
-        width = float(high) - float(low)
-        if not 0 < width < float("inf"):       # neighbours that a double cannot part
+        width = float(high) / 2 - float(low) / 2        # halves: the range of two doubles may not be a double
+        if not width > 0:                               # neighbours that a double cannot part
             return F.when(F.col("v") == F.lit(low), 0).otherwise(1)
-        return F.floor((F.col("v").cast("double") - F.lit(float(low))) / width * BUCKETS)
+        return F.floor((F.col("v").cast("double") / 2 - F.lit(float(low) / 2)) / width * BUCKETS)
 
     def _counts(self, low, high) -> list:
         """(n, lo, hi) per bucket between two values, in order.
@@ -75,15 +75,33 @@ class RankSearch:
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Interpolated medians of several columns."""
-    stats = df.agg(*[f(name).alias(f"{tag}_{name}") for name in columns
-                     for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    """Interpolated medians of several columns, equal to Spark's ``median``.
+
+    Each column is first reduced to counts per bucket of its finite values; NaN counts as the largest value and
+    infinities as the outermost ones, so the search itself only meets finite numbers.
+    """
+    finite = lambda name: F.abs(F.col(name).cast("double")) < F.lit(float("inf"))
+    stats = df.agg(*[f.alias(f"{tag}_{name}") for name in columns for tag, f in (
+        ("below", F.count_if(F.col(name).cast("double") == F.lit(float("-inf")))),
+        ("above", F.count_if(F.col(name).cast("double") == F.lit(float("inf")))),
+        ("nan", F.count_if(F.isnan(F.col(name).cast("double")))),
+        ("n", F.count_if(finite(name))), ("lo", F.min(F.when(finite(name), F.col(name)))),
+        ("hi", F.max(F.when(finite(name), F.col(name)))))]).first()
     medians = {}
     for name in columns:
-        n = stats[f"n_{name}"]
-        search = RankSearch(df, name, stats[f"lo_{name}"], stats[f"hi_{name}"])
-        middle = [search.value_at(r) for r in {(n + 1) // 2, n // 2 + 1}] if n else []
-        medians[name] = sum(middle) / len(middle) if n else None
+        below, above, n = (stats[f"{tag}_{name}"] for tag in ("below", "above", "n"))
+        total = below + n + above + stats[f"nan_{name}"]
+        search = RankSearch(df.where(finite(name)), name, stats[f"lo_{name}"], stats[f"hi_{name}"])
+
+        def value_at(rank: int):
+            if rank <= below:
+                return float("-inf")
+            if rank <= below + n:
+                return search.value_at(rank - below)
+            return float("inf") if rank <= below + n + above else float("nan")
+
+        middle = [value_at(r) for r in sorted({(total + 1) // 2, total // 2 + 1})] if total else []
+        medians[name] = sum(middle) / len(middle) if total else None
     return medians
 
 

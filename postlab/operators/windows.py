@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlab import rules
+from postlab.session import stored_table
 
 SALTS = 16
 
@@ -62,19 +63,21 @@ def cap_after_first_accept(hits: DataFrame, k: int = rules.ACCEPTED_USER_CAP,
 def dedupe_across_terms(posts: DataFrame, key: str = "post_id") -> DataFrame:
     """Keep a post only in the first term that has it; repeats there stay.
 
-    The first term per post is aggregated before the shuffle and joined back on
-    (post, term): AQE can split a heavy post there, which it cannot do for a
-    window partition.
+    The first term per post is aggregated before the shuffle, stored, and joined back on
+    (post, term). The join shuffles the stored side itself, so AQE can split a heavy
+    post there, which it cannot do for a window partition or an aggregate's own partitions.
     """
-    first = posts.groupBy(key).agg(F.min("term_idx").alias("term_idx"))
+    first = stored_table(posts.groupBy(key).agg(F.min("term_idx").alias("term_idx")), "first-terms")
     return posts.join(first, [key, "term_idx"], "left_semi")
 
 
-def limit_per_term(hits: DataFrame, limit: int = rules.POSTS_PER_SEARCH) -> DataFrame:
-    """First ``min(limit, 100)`` posts of each term."""
+def limit_per_term(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """First ``limit`` posts of each term; all of them by default."""
+    if limit is None:
+        return hits
     order = Window.partitionBy("term_idx").orderBy("pos")
     return (hits.withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= min(limit, rules.POSTS_PER_SEARCH)).drop("_rank"))
+            .where(F.col("_rank") <= limit).drop("_rank"))
 
 
 def top_k_per_group(counts: DataFrame, group: str, value: str, count: str, k: int) -> DataFrame:

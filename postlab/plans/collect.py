@@ -16,11 +16,11 @@ from postlab.operators.windows import (cap_after_first_accept, cap_per_search,
 from postlab.session import shared_dir
 
 
-def select_posts(hits: DataFrame, profile: str = "v3", per_term: int = rules.POSTS_PER_SEARCH) -> DataFrame:
+def select_posts(hits: DataFrame, profile: str = "v3", per_term: int | None = None) -> DataFrame:
     """Which hits are kept: the caps and de-duplication of a collector profile.
 
-    The per-term limit leaves at most terms x 100 rows. They are checkpointed:
-    the caps below read them up to four times, the landed hits once.
+    ``per_term``: keep the first so many of each term, all by default. The hits are checkpointed:
+    the caps below read them up to four times, the landed files once.
     """
     shared_dir(hits.sparkSession)
     limited = limit_per_term(hits, per_term).checkpoint()
@@ -32,19 +32,23 @@ def select_posts(hits: DataFrame, profile: str = "v3", per_term: int = rules.POS
     return dedupe_across_terms(cap_after_first_accept(matched)).drop("match")
 
 
-def collect_posts(hits: DataFrame, profiles: DataFrame, profile: str = "v3", total: int = 1000,
-                  per_term: int = rules.POSTS_PER_SEARCH) -> DataFrame:
-    """Flattened hits (with ``term_idx``, ``pos``) to at most ``total`` posts.
+def collect_posts(hits: DataFrame, profiles: DataFrame, profile: str = "v3", total: int | None = None,
+                  per_term: int | None = None, content_limit: int | None = None) -> DataFrame:
+    """Flattened hits (with ``term_idx``, ``pos``) to located posts.
 
+    ``total`` and ``per_term`` limit the posts, ``content_limit`` their stored characters; nothing is cut by default.
     Caps run first, so profiles, location and language are only worked out for
     the posts that stay.
     """
-    kept = trim_total(select_posts(hits, profile, per_term), total)
+    kept = select_posts(hits, profile, per_term)
+    if total is not None:
+        kept = trim_total(kept, total)
     located = join_profile(kept, profiles).withColumn(
         "location", resolve_location("description", "username", profile)).drop("description")
     if profile == "v3":
-        located = (located.withColumn("language", detect_language("content"))
-                   .withColumn("content", truncate("content", rules.CONTENT_LIMIT)))
+        located = located.withColumn("language", detect_language("content"))
+    if content_limit is not None:
+        located = located.withColumn("content", truncate("content", content_limit))
     return located
 
 

@@ -15,8 +15,8 @@ from postlab.sources.readers import ingest_tweets
 
 def analyze_keyword(tweets: DataFrame, places: DataFrame, keyword: str, reference_time: str,
                     scorers: dict[str, Scorer], model: str | None = None,
-                    max_results: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(one-row summary, scored tweets) for the newest tweets about a keyword."""
+                    max_results: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one-row summary, scored tweets) for the tweets about a keyword: the newest ``max_results``, or all."""
     found = tweet_predicate(tweets, reference_time, keyword)
     located = ingest_tweets(_newest(found, max_results), places)
     scored = analyze_sentiment(located, scorers, model, "text", "id")
@@ -25,5 +25,7 @@ def analyze_keyword(tweets: DataFrame, places: DataFrame, keyword: str, referenc
     return keyword_result(detail, keyword, used), detail
 
 
-def _newest(tweets: DataFrame, max_results: int) -> DataFrame:
-    return tweets.orderBy(F.desc("created_at"), F.asc("id")).limit(min(max_results, 100))
+def _newest(tweets: DataFrame, max_results: int | None) -> DataFrame:
+    if max_results is None:
+        return tweets
+    return tweets.orderBy(F.desc("created_at"), F.asc("id")).limit(max_results)

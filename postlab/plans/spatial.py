@@ -12,13 +12,12 @@ from postlab.operators.frame import (check_required, init_score_columns, popup_f
 from postlab.operators.joins import geocode_join
 from postlab.operators.sampling import sample_n
 
-MAX_ROWS = 5000
 MAX_MARKERS = 1000
 
 
 def prepare_located(tweets: DataFrame, gazetteer: DataFrame, key: str,
-                    max_rows: int | None = MAX_ROWS, seed: int = 42) -> DataFrame:
-    """Rows with text and coordinates. ``max_rows=None`` keeps all of them."""
+                    max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Rows with text and coordinates; all of them unless ``max_rows`` asks for a sample."""
     named = check_required(standardise_columns(tweets))
     rows = drop_blank(named, "text", "location_str")
     if max_rows is not None:

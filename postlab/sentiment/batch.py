@@ -16,7 +16,7 @@ from postlab.functions.text import _col, flatten_newlines, truncate
 
 
 def label_batches(text, factory: Callable[[], Callable[[Sequence[str]], Sequence[str]]],
-                  batch_size: int = 64, max_chars: int | None = rules.MODEL_TEXT_LIMIT) -> Column:
+                  batch_size: int = 64, max_chars: int | None = None) -> Column:
     """Struct (label, score_error) of each text.
 
     ``factory`` builds a model that maps texts to labels. Blank text is neutral
@@ -52,8 +52,8 @@ def label_batches(text, factory: Callable[[], Callable[[Sequence[str]], Sequence
 def infer_batches(text, factory: Callable[[], Callable], batch_size: int = 32) -> Column:
     """Struct (sentiment, neg_score, neu_score, pos_score, score_error).
 
-    ``factory`` builds a model that maps texts to an (n, 3) array of logits. A
-    failed batch gives neutral scores to its rows and reports the error.
+    ``factory`` builds a model that maps texts to an (n, 3) array of logits. When a batch fails
+    its rows are retried alone; a text that fails by itself gets neutral scores and its error is reported.
     """
     failed = rules.FAILED_BATCH_SCORES
 
@@ -67,14 +67,18 @@ def infer_batches(text, factory: Callable[[], Callable], batch_size: int = 32) -
         for series in batches:
             texts = ["" if t is None else t for t in series]
             parts = []
-            for start in range(0, len(texts), batch_size):
-                chunk = texts[start:start + batch_size]
+            todo = [texts[start:start + batch_size] for start in range(0, len(texts), batch_size)][::-1]
+            while todo:
+                chunk = todo.pop()
                 try:
                     logits = np.asarray(model(chunk), dtype="float64")
                     exps = np.exp(logits - logits.max(axis=1, keepdims=True))
                     p = exps / exps.sum(axis=1, keepdims=True)
                     labels, error = names[p.argmax(axis=1)], None
                 except Exception as problem:
+                    if len(chunk) > 1:
+                        todo += [[text] for text in reversed(chunk)]
+                        continue
                     p = np.tile(failed, (len(chunk), 1))
                     labels = ["Neutral"] * len(chunk)
                     error = f"{type(problem).__name__}: {problem}"

@@ -27,12 +27,9 @@ class Lexicon:
     negations: Sequence[str] = rules.NEGATIONS
 
     @classmethod
-    def from_table(cls, table: DataFrame, max_entries: int = 50_000, **options) -> Lexicon:
-        """Read (token, valence) rows. A word list of a language is small; a
-        table above ``max_entries`` is a mistake and is refused, not cut."""
-        rows = table.select("token", "valence").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
-            raise ValueError(f"lexicon table has more than {max_entries} entries")
+    def from_table(cls, table: DataFrame, **options) -> Lexicon:
+        """Read (token, valence) rows: the word list of a language."""
+        rows = table.select("token", "valence").collect()
         return cls({row["token"]: float(row["valence"]) for row in rows}, **options)
 
 

@@ -17,6 +17,7 @@ from postlab.functions.text import clean_text, is_blank
 from postlab.sentiment.batch import label_batches
 from postlab.sentiment.lexicon import Lexicon, lexicon_label
 from postlab.sentiment.naive_bayes import NaiveBayesModel, predict_naive_bayes
+from postlab.session import stored_table
 
 Scorer = Callable[[DataFrame, str, str], DataFrame]
 
@@ -39,7 +40,7 @@ def naive_bayes_scorer(model: NaiveBayesModel) -> Scorer:
 
 
 def model_scorer(factory: Callable, batch_size: int = 64,
-                 max_chars: int | None = rules.MODEL_TEXT_LIMIT) -> Scorer:
+                 max_chars: int | None = None) -> Scorer:
     """A user's model; see ``label_batches``."""
 
     def annotate(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -62,12 +63,13 @@ def score_distinct(df: DataFrame, scorer: Scorer, text: str = "content",
                    into: str = "sentiment") -> DataFrame:
     """Score each distinct text once and map the labels back.
 
-    Worth its shuffle for expensive models on data full of copies. A text held
-    by many rows is one row on the right; AQE splits its rows on the left.
+    Worth its shuffle for expensive models on data full of copies. The labels are stored, so the join
+    shuffles them itself and AQE can split the rows of a text that many hold.
     """
     hashed = df.withColumn("_text_key", F.sha2(text, 256))
     unique = hashed.groupBy("_text_key").agg(F.any_value(text).alias(text))
     labels = score_posts(unique, scorer, text, "_text_key", into).select("_text_key", into, "score_error")
+    labels = stored_table(labels, "labels")
     return (hashed.drop(into).join(labels, "_text_key", "left")
             .withColumn(into, F.coalesce(into, F.lit("neutral"))).drop("_text_key"))
 

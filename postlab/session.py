@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -13,10 +13,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (a test session) a folder is made up.
+    Only where the setting is missing in a local session (a test) a folder is made up; executors
+    of a cluster would not see it, so there the setting is demanded.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="postlab-")
         spark.conf.set(CHECKPOINT_KEY, folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -29,6 +32,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/postlab/{name}-{uuid.uuid4().hex}"
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back; it goes when the session ends.
+
+    A join shuffles what was read back afresh, so adaptive execution may split its hot keys.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", name: str = "postlab", shuffle: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(name)

@@ -63,3 +63,12 @@ def test_ties_in_counts(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "c", "c", None, None, None]], "v string")
     assert [tuple(r) for r in sampling.top_counts(df, "v", 2).collect()] == [("c", 2), ("a", 1)]
     assert [tuple(r) for r in sampling.top_ascending(df, "v", 3).collect()] == [("b", 1), ("a", 1), ("c", 2)]
+
+
+def test_median_with_nan_and_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    for values in ([1.0, 2.0, nan, nan, nan, nan, nan], [inf] + [float(i) for i in range(200)], [-inf, inf, 3.0],
+                   [-1.7e308, 1.7e308, 5.0, 1e308], [nan], [-inf, -inf, 1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got, want = ranks.exact_medians(df, ["v"])["v"], df.agg(F.median("v")).first()[0]
+        assert got == want or (got != got and want != want), values

@@ -74,7 +74,7 @@ def flaky():
     def model(texts):
         if any("boom" in t for t in texts):
             raise RuntimeError("no")
-        return ["POSITIVE" if len(t) == 512 else "Negative" for t in texts]
+        return ["POSITIVE" if len(t) == 600 else "Negative" for t in texts]
     return model
 
 
@@ -84,7 +84,7 @@ def test_failures_are_visible_and_cost_only_their_row(spark):
     got = {r.post_id: (r.sentiment, r.score_error) for r in registry.score_posts(df, registry.model_scorer(flaky)).collect()}
     assert got.pop(7) == ("neutral", "RuntimeError: no")
     assert got.pop(8) == got.pop(9) == ("neutral", None)
-    assert set(got.values()) == {("positive", None)}, "512 characters reach the model"
+    assert set(got.values()) == {("positive", None)}, "the whole text reaches the model"
 
 
 def test_distinct_scoring_gives_every_copy_a_label(spark):
