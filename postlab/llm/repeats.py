@@ -5,7 +5,7 @@ or another.
 
 1. *Anchors.* Among the 64-byte grams of every 400-byte string the one with the smallest hash (the first of
    equals) is an anchor: it depends on the string alone, so equal strings have equal anchors at equal places. About one position
-   in 170 is an anchor. The segment of an anchor spans all 400-byte strings that hold it.
+   in 170 is an anchor. The segment of an anchor spans the 400-byte strings that it is chosen for.
 2. *Classes.* Anchors are grouped by (gram hash, segment hash), pre-aggregated. A segment that occurs twice is removed whole.
    A gram with one occurrence in all means no repetition.
 3. *Suffix sorting.* What is left are segments that share a gram but differ as a whole: the edges of a
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from postlab.llm.encoded import slices
 from postlab.llm.shingles import mixed
 from postlab.llm.store import stored
-from postlab.llm.suffixes import equal_to_previous, suffix_array, words_at
+from postlab.llm.suffixes import equal_to_previous, prints_at, suffix_array, words_at
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text that are hashed at once; a longer document is cut into overlapping parts.
@@ -63,20 +63,22 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchors(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions of a document's anchors and the hashes of their grams."""
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def anchors(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Ascending positions of a document's anchors, the hashes of their grams, and the first and last start of the strings they stand for."""
+    found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
     for start in range(0, max(len(text) - length + 1, 0), TILE):
         part = text[start:start + TILE + length - 1]
         h = _gram_hashes(part, gram)
         low = np.uint64((1 << 23) - 1)
         keyed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        best = _window_minima(keyed, length - gram + 1) & low
-        best = np.unique(best.astype(np.int64))
-        places.append(best + start)
-        hashes.append(h[best])
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        best = (_window_minima(keyed, length - gram + 1) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
+        last = np.append(first[1:], len(best)) - 1
+        found.append([best[first] + start, first + start, last + start, h[best[first]]])
+    at, first, last, h = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    # an anchor at the border of two tiles stands for strings of both
+    return at[new], h[new], first[new], last[np.append(new[1:], len(at))[:len(new)] - 1]
 
 
 def _bytes(value) -> np.ndarray:
@@ -90,9 +92,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = _bytes(value)
             if len(text) < LENGTH:
                 continue
-            at, h = anchors(text)
-            low = np.maximum(at - (LENGTH - GRAM), 0)
-            high = np.minimum(at + LENGTH, len(text))
+            at, h, low, last = anchors(text)
+            high = last + LENGTH
             raw = memoryview(text)
             for p, g, a, b in zip(at.tolist(), h.view(np.int64).tolist(), low.tolist(), high.tolist()):
                 digest = hashlib.blake2b(raw[a:b], digest_size=8, salt=(p - a).to_bytes(8, "little"))
@@ -114,13 +115,12 @@ def _repeated_in_bucket(bucket: pa.Table) -> pa.Table:
         text[a:a + len(s)] = s + 1
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     inside = np.arange(len(text)) - first[owner]
-    words = words_at(text)
-    order = suffix_array(text, words, LENGTH)
-    order = order[inside[order] + LENGTH <= sizes[owner[order]]]
+    prints = prints_at(text, LENGTH)
+    order = suffix_array(text, inside + LENGTH <= sizes[owner], words_at(text), prints, LENGTH)
     if not len(order):
         return _spans(np.zeros(0, np.int64), np.zeros(0, np.int64))
     rid, start = rids[owner[order]], lows[owner[order]] + inside[order]
-    run = np.flatnonzero(~equal_to_previous(order, words, LENGTH))
+    run = np.flatnonzero(~equal_to_previous(order, prints))
     # the same place can come with several segments: only different places count
     _, rid_rank = np.unique(rid, return_inverse=True)
     place = rid_rank * (int(start.max()) + 1) + start

@@ -94,8 +94,9 @@ def test_suffix_array():
     for k in range(60):
         text = bytes(rng.choice(b"\1\2\3" if k % 2 else b"\1") for _ in range(rng.randint(0, 300))) + b"\0"
         t = np.frombuffer(text, np.uint8)
-        got = suffixes.suffix_array(t, suffixes.words_at(t), len(t) + 8).tolist()
-        assert got == sorted(range(len(t)), key=lambda i: text[i:])
+        wanted = np.array([rng.random() < 0.6 for _ in t]) if k % 3 else np.ones(len(t), bool)
+        got = suffixes.suffix_array(t, wanted, suffixes.words_at(t), suffixes.prints_at(t, len(t)), len(t) + 8).tolist()
+        assert got == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: text[i:])
 
 
 def covered(rows, length):
