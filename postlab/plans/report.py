@@ -26,10 +26,10 @@ def repair_and_score(posts: DataFrame, scorer: Scorer, text: str = "content",
 
 
 def to_countries(posts: DataFrame, only_located: bool = False) -> DataFrame:
-    """Location reduced to a country; a country with an NA spelling becomes null,
-    as it does on a CSV round trip."""
+    """Location reduced to a country. NA spellings, the empty text among them, are missing before and
+    after, as on a CSV round trip; a missing location is the country ``Unknown``."""
     kept = drop_blank(posts, "location") if only_located else posts
-    return kept.withColumn("location", na_to_null(country_from_location("location")))
+    return kept.withColumn("location", na_to_null(country_from_location(na_to_null("location"))))
 
 
 def report_tables(scored: DataFrame, stop_words: Sequence[str],
