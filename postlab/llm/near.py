@@ -6,9 +6,9 @@
    rest in 16 bits: the number of its leading zeros and the 10 bits behind the first one.
 3. 32 bands of 8 registers are hashed; classes that agree in a band are candidates. For similarity
    0.85 a band agrees with probability 0.27, so that no band of 32 does with probability 4e-5.
-4. Members of a band are compared with one leader of the band, not with each other. An estimate from the sketches,
-   corrected for registers that agree by chance, drops hopeless pairs; all others are verified on full sets. Those
-   linked leave the band; the rest is a smaller band with another leader. A member just below the threshold is
+4. Members of a large band are compared with a leader of the band (later with a few), not with each other. An estimate from
+   the sketches, corrected for registers that agree by chance, drops hopeless pairs; all others are verified on full sets. Leaders
+   and those linked to one leave the band; the rest is a smaller band with other leaders. A member just below the threshold is
    also compared with linked members far enough from the leader (by the triangle inequality of the Jaccard distance,
    no others can be near it). Bands of at most ``SMALL`` members compare all their pairs that are not yet
    connected. So a band of any size is handled without all pairs, and no link between components is lost.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postlab.llm.components import components
 from postlab.llm.encoded import slices
@@ -38,6 +38,8 @@ REGISTERS, MANTISSA, BANDS = 256, 10, 32
 #: Values that fall on the registers of a small set in all passes, and the most passes.
 FILL, PASSES = 2560, 200
 SMALL = 64
+#: Leaders of a large band from the second round on.
+LEADERS = 32
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -186,32 +188,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     reach = 1 - 2 * (1 - percent / 100)
     links = active.select(F.col("node").alias("a"), F.col("node").alias("b")).filter(F.lit(False))
 
+    leaders_each = 1            # nearly all of a band of copies is linked to one; what is left has many to link to
     while not active.isEmpty():
-        size = stored(active.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
-                      .filter("members > 1"), "near-size")
+        size = stored(active.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-size")
         active = stored(active.join(size, "band"), "near-active")
         few = active.filter(F.col("members") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
         few = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
         few = few.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
-        star = active.filter((F.col("members") > SMALL) & (F.col("node") != F.col("leader")))
-        pairs = few.union(star.select(F.col("leader").alias("a"), F.col("node").alias("b"))).distinct()
+        large = active.filter(F.col("members") > SMALL).select("band", "node")
+        place = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+        leaders = stored(large.withColumn("place", place).filter(F.col("place") <= leaders_each)
+                         .select("band", F.col("node").alias("leader")), "near-leaders")
+        star = large.join(leaders, "band").filter("node <> leader").select(
+            "band", "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        pairs = few.union(star.select("a", "b")).distinct()
         judged = stored(_verified(_hopeful(pairs, members, reach), sets), "near-judged")
         links = links.union(judged.filter(linked).select("a", "b"))
 
-        against = star.join(judged.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"], "left")
-        against = stored(against.select("band", "node", "both", "either", F.coalesce(linked, F.lit(False)).alias("linked"),
-                                        (1 - F.col("both") / F.col("either")).alias("away")), "near-against")
-        close = against.filter(~F.col("linked") & (F.col("both") >= F.col("either") * reach)).select(
-            "band", F.col("node").alias("a"), F.col("away").alias("away_a"))
+        against = stored(star.join(judged, ["a", "b"]).select(
+            "band", "leader", "node", linked.alias("linked"), (F.col("both") >= F.col("either") * reach).alias("close"),
+            (1 - F.col("both") / F.col("either")).alias("away")), "near-against")
+        close = against.filter("close and not linked").select("band", "leader", F.col("node").alias("a"), F.col("away").alias("away_a"))
         if not close.isEmpty():
-            inner = against.filter("linked").select("band", F.col("node").alias("b"), F.col("away").alias("away_b"))
-            edge = close.join(inner, "band").filter(F.col("away_b") >= F.col("away_a") - (1 - percent / 100) - 1e-9)
+            inner = against.filter("linked").select("band", "leader", F.col("node").alias("b"), F.col("away").alias("away_b"))
+            edge = close.join(inner, ["band", "leader"]).filter(F.col("away_b") >= F.col("away_a") - (1 - percent / 100) - 1e-9)
             labels = components(members.select("node"), links, rounds=2)
             edge = edge.select("a", "b").distinct().join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
                 labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b").filter("la <> lb").select("a", "b")
             more = stored(_verified(_hopeful(edge, members, percent / 100), sets), "near-judged")
             links = links.union(more.filter(linked).select("a", "b"))
-        active = against.filter(~F.col("linked")).select("band", "node")
+        settled = against.filter("linked").select("band", "node").union(leaders.select("band", F.col("leader").alias("node")))
+        active = stored(large.join(stored(settled.distinct(), "near-settled"), ["band", "node"], "left_anti"), "near-active")
+        leaders_each = LEADERS
 
     labels = components(members.select("node"), links)
     groups = labels.join(members.select("node", "key"), "node").groupBy("label").agg(F.min("key").alias("component"))
