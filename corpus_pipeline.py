@@ -27,6 +27,8 @@ from postlab.llm.queries.private import key_of
 from postlab.llm.store import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this much of their five-word shingles, in hundredths (op9 by itself asks for 85).
+NEAR_PERCENT = 80
 #: Packing depends on the library's tokenizer, so the result can't be said in SQL.
 ORACLE_SQL = None
 
@@ -38,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group stays; of rows that repeat it, one."""
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, percent=NEAR_PERCENT)
     dropped = stored(groups.filter("not kept").select("doc_id").distinct(), "pipeline-dropped")
     stays = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
     numbered = stays.filter("doc_id is not null")

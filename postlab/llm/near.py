@@ -4,8 +4,8 @@
    class (pre-aggregated), and everything below works on one text per class.
 2. A HyperMinHash sketch has 256 registers. The first 8 bits of a hash choose the register, which keeps the smallest
    rest in 16 bits: the number of its leading zeros and the 10 bits behind the first one.
-3. 32 bands of 8 registers are hashed; classes that agree in a band are candidates. For similarity
-   0.85 a band agrees with probability 0.27, so that no band of 32 does with probability 4e-5.
+3. Bands of registers are hashed; classes that agree in a band are candidates. The threshold gives the widest bands that
+   miss a pair just at it with a probability below ``MISSED``: 32 bands of 8 for 0.85 (4e-5), 42 bands of 6 for 0.80 (3e-6).
 4. Members of a large band are compared with a leader of the band (later with a few), not with each other. An estimate from
    the sketches, corrected for registers that agree by chance, drops hopeless pairs; all others are verified on full sets. Leaders
    and those linked to one leave the band; the rest is a smaller band with other leaders. A member just below the threshold is
@@ -34,7 +34,9 @@ from postlab.llm.encoded import slices
 from postlab.llm.shingles import mixed, shingle_sets
 from postlab.llm.store import stored
 
-REGISTERS, MANTISSA, BANDS = 256, 10, 32
+REGISTERS, MANTISSA = 256, 10
+#: Probability that a pair just at the threshold agrees in no band.
+MISSED = 1e-4
 #: Values that fall on the registers of a small set in all passes, and the most passes.
 FILL, PASSES = 2560, 200
 SMALL = 64
@@ -104,18 +106,26 @@ def _class(s: np.ndarray) -> int:
     return int(mixed(both * np.array([3, 5, 7], np.uint64)).sum().astype(np.int64))
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """``band``, ``node`` for every band."""
+def band_width(percent: int) -> int:
+    """Registers per band: the most with which a pair at the threshold is missed with a probability below ``MISSED``."""
+    agree = percent / 100
+    return max((w for w in range(1, REGISTERS + 1) if (1 - agree ** w) ** (REGISTERS // w) < MISSED), default=1)
+
+
+def _bands(classes: DataFrame, width: int) -> DataFrame:
+    """``band``, ``node`` for every band of ``width`` registers."""
+    bands = REGISTERS // width
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            registers = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, BANDS, REGISTERS // BANDS)
-            hashed = np.zeros(registers.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+            registers = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            registers = registers[:, :bands * width].reshape(-1, bands, width)
+            hashed = np.zeros(registers.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
             for k in range(registers.shape[2]):
                 hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + registers[:, :, k].astype(np.uint64))
-            nodes = batch["node"].take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            nodes = batch["node"].take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
             yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64).ravel()), nodes], ["band", "node"])
 
     return classes.select("node", "sketch").mapInArrow(made, "band long, node long")
@@ -165,7 +175,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = stored(known.groupBy("node").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
 
-    bands = stored(_bands(classes), "near-bands")
+    bands = stored(_bands(classes, band_width(percent)), "near-bands")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     active = stored(bands.join(stored(shared, "near-shared"), "band").select("band", "node"), "near-active")
     members = stored(active.select("node").distinct().join(classes, "node"), "near-members")

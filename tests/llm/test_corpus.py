@@ -71,6 +71,33 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
         i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert near.band_width(85) == 8
+    for percent in range(50, 100):
+        w = near.band_width(percent)
+        assert (1 - (percent / 100) ** w) ** (near.REGISTERS // w) < 1e-4
+
+
+def test_pipeline_drops_copies_from_080(spark):
+    rng = random.Random(3)
+    rows, near_ids = [], set()
+    for i in range(40):
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(104)]
+        rows.append((i, " ".join(words)))
+        # two or three changed words of 104 leave 90 or 85 of 100 shingles: 0.82 or 0.74
+        changed = 2 if i % 2 else 3
+        for k in range(changed):
+            words[20 + 30 * k] = "new"
+        rows.append((100 + i, " ".join(words)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        share = len(a & b) / len(a | b)
+        assert 0.80 <= share < 0.85 if changed == 2 else share < 0.80
+        near_ids |= {100 + i} if changed == 2 else set()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - near_ids
+
+
 def test_near_odd_rows(odd, none):
     rows = near.near_duplicates(odd).collect()
     assert len(rows) == 9 and near.near_duplicates(none).count() == 0
