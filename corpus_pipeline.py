@@ -8,7 +8,7 @@ rereads it as the next one's documents.
 2. ``near_duplicates``: one document of each group stays, the one with the smallest id. Documents without id stay.
 3. ``private``: personal data become pseudonyms.
 4. ``mixing``: documents in mixed order; each stays exactly once, the stored files follow the order.
-5. ``packing``: ids of the byte-level tokenizer in sequences of 1024.
+5. ``packing``: ids of the byte-level tokenizer in sequences of 1024, whose ids follow the mixed order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlab.llm.mixing import mix
+from postlab.llm.mixing import mix, mix_plan, named_source
 from postlab.llm.near import near_duplicates
 from postlab.llm.packing import pack
 from postlab.llm.private import pseudonymise_column
@@ -29,6 +29,8 @@ from postlab.llm.store import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this much of their five-word shingles, in hundredths (op9 by itself asks for 85).
 NEAR_PERCENT = 80
+#: Characters of a block of the mix.
+MIX_BLOCK = 1 << 18
 #: Packing depends on the library's tokenizer, so the result can't be said in SQL.
 ORACLE_SQL = None
 
@@ -53,11 +55,15 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, block=1 << 18).select(*COLUMNS)
+    return mix(docs, block=MIX_BLOCK).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    """Stored documents don't tell their place, so it is computed again; the same documents have the same plan."""
+    plan = stored(mix_plan(docs, block=MIX_BLOCK).select("key", "mix_source", "position"), "pipeline-order")
+    placed = docs.withColumn("named", named_source("source")).join(
+        plan, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("named") == F.col("mix_source"))).select("doc_id", "text", "position")
+    pieces = pack(placed, public_tokenizers.path("byte_bpe_50k.json"), end=0, order="position")
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

@@ -97,7 +97,8 @@ def _source(by: str) -> Column:
     return F.concat(F.lit("="), F.col(f"`{by}`").cast("string"))
 
 
-def _named(by: str) -> Column:
+def named_source(by: str) -> Column:
+    """The source as the plan names it (``mix_source``)."""
     return F.coalesce(_source(by), F.lit("null"))
 
 
@@ -110,7 +111,7 @@ def mix_plan(docs: DataFrame, shares: dict[str | None, int] | None = None, by: s
     number of sources has to suit the driver, which gets one row for each.
     """
     spark = docs.sparkSession
-    narrow = docs.select(_named(by).alias("mix_source"), F.col(f"`{key}`").alias("key"),
+    narrow = docs.select(named_source(by).alias("mix_source"), F.col(f"`{key}`").alias("key"),
                          F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("size"))
     keyed = narrow.groupBy("mix_source", "key").agg(F.sum("size").alias("size"))
     ranged = stored(keyed.repartitionByRange(spark.sparkContext.defaultParallelism * 4, "mix_source", "key")
@@ -165,6 +166,6 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, by: str =
     plan = stored(mix_plan(docs, shares, by, key, text, block, power), "mix-plan").withColumnsRenamed(
         {"key": "__key", "mix_source": "__source"})
     keep = [f"`{c}`" for c in docs.columns if c not in PLAN]
-    joined = docs.select(*keep).join(plan, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (_named(by) == F.col("__source")))
+    joined = docs.select(*keep).join(plan, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (named_source(by) == F.col("__source")))
     out = joined.select(*keep, F.col("__source").alias("mix_source"), *PLAN[1:])
     return out.repartitionByRange("position", f"`{key}`").sortWithinPartitions("position", f"`{key}`")

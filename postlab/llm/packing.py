@@ -13,6 +13,11 @@ The driver sees only the histogram (``size - 1`` counts at most) and the plan. R
 the tasks that encode the texts and over their counts per length, so a length that a third of the documents share is
 spread like any other. The encoded ids are stored once, and moved at most once, to be joined to the offsets of their task.
 
+With ``order``, a column of numbers from 0 up (the place in a mixed corpus), sequences follow it: the corpus is cut into at most
+``WINDOWS`` windows of order, each has a plan of its own, and sequence ids go through the windows in turn. Inside a window
+ranks follow the order, and whole pieces lie evenly among the other sequences. So the sequences up to any id hold what the
+order has up to there, but for one window.
+
 Defined cases: null text has the end id alone; equal or null keys are documents of their own; an empty table gives an empty
 table; other columns are not kept.
 """
@@ -33,6 +38,8 @@ from postlab.llm.tokens import encoder
 SIZE = 1024
 UNIT = 8
 GAP = 0.002
+#: Most windows of an ordered corpus (the driver gets a histogram and makes a plan for each), and the least units of order in one.
+WINDOWS, WINDOW = 32, 1 << 20
 SLACK = 1
 
 
@@ -180,58 +187,95 @@ class Plan:
         return out
 
 
+class Numbers:
+    """Sequence ids of a window: its whole pieces lie evenly among its other sequences."""
+
+    def __init__(self, first: int, others: int, wholes: int):
+        self.first, self.others, self.wholes = first, others, wholes
+
+    def whole(self, i: int) -> int:
+        return self.first + i + i * self.others // self.wholes
+
+    def other(self, i: int) -> int:
+        return self.first + i + (-(-(i + 1) * self.wholes // self.others))
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", size: int = SIZE,
-         unit: int = UNIT, gap: float = GAP, slack: int = SLACK) -> DataFrame:
+         unit: int = UNIT, gap: float = GAP, slack: int = SLACK, order: str | None = None) -> DataFrame:
     """Pieces of all documents: ``key``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``
-    (little-endian unsigned 32-bit integers)."""
+    (little-endian unsigned 32-bit integers). ``order``: the column that sequences follow."""
     width = id_width(tokenizer)
+    source = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"),
+                         (docs[f"`{order}`"] if order else F.lit(0)).cast("long").alias("at"))
+    windows, span = 1, 1
+    if order:
+        last = source.agg(F.max("at")).first()[0] or 0
+        span = max(WINDOW, -(-(last + 1) // WINDOWS))
+        windows = last // span + 1
+        source = source.repartitionByRange("at", "key").sortWithinPartitions("at", "key")
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, kind = TaskContext.get().partitionId(), np.dtype("<u2") if width == 2 else np.dtype("<u4")
-        seen, whole = np.zeros(size, np.int64), 0
+        seen, whole = np.zeros(windows * size, np.int64), np.zeros(windows, np.int64)
         for batch in slices(batches, "text"):
             flat, counts = with_end(*encoder(tokenizer).encode(batch["text"]), end)
             rest = counts % size
+            window = np.asarray(batch["at"]).astype(np.int64) // span
+            kind_of = window * size + rest
             rank = np.zeros(len(rest), np.int64)
-            order = np.argsort(rest, kind="stable")
-            new = np.bincount(rest, minlength=size)
-            rank[order] = np.arange(len(rest)) - np.repeat(np.cumsum(new) - new, new) + seen[rest[order]]
+            by_kind = np.argsort(kind_of, kind="stable")
+            new = np.bincount(kind_of, minlength=windows * size)
+            rank[by_kind] = np.arange(len(rest)) - np.repeat(np.cumsum(new) - new, new) + seen[kind_of[by_kind]]
             seen += new
-            wholes = np.cumsum(counts // size)
+            whole_rank = np.zeros(len(rest), np.int64)
+            for w in np.unique(window):
+                own = counts[window == w] // size
+                whole_rank[window == w] = whole[w] + np.cumsum(own) - own
+                whole[w] += own.sum()
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], pa.repeat(pa.scalar(part, pa.int32()), len(rest)), pa.array(counts), pa.array(rest.astype(np.int32)),
-                 pa.array(rank), pa.array(whole + wholes - counts // size), binary(flat.astype(kind), counts).cast(pa.binary())],
-                ["key", "part", "n_tokens", "rest", "rank", "whole_rank", "ids"])
-            whole += int(wholes[-1]) if len(wholes) else 0
+                [batch["key"], pa.repeat(pa.scalar(part, pa.int32()), len(rest)), pa.array(window.astype(np.int32)), pa.array(counts),
+                 pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(whole_rank), binary(flat.astype(kind), counts).cast(pa.binary())],
+                ["key", "part", "window", "n_tokens", "rest", "rank", "whole_rank", "ids"])
 
-    source = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
     kind = dict(source.dtypes)["key"]
     encoded = stored(source.mapInArrow(
-        ranked, f"key {kind}, part int, n_tokens long, rest int, rank long, whole_rank long, ids binary"), "pack-ids")
+        ranked, f"key {kind}, part int, window int, n_tokens long, rest int, rank long, whole_rank long, ids binary"), "pack-ids")
 
-    counts = encoded.groupBy("part", "rest").agg(
+    counts = encoded.groupBy("window", "part", "rest").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("n_tokens") / size)).alias("wholes"))
     before = lambda w: w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("rank_start", F.coalesce(F.sum("n").over(before(Window.partitionBy("rest"))), F.lit(0)))
-    parts = counts.groupBy("part").agg(F.sum("wholes").alias("wholes")).select(
-        "part", F.coalesce(F.sum("wholes").over(before(Window.orderBy(F.lit(1)))), F.lit(0)).alias("whole_start"))
-    counts = stored(counts.join(parts, "part"), "pack-offsets")
-    histogram = {r.rest: r.n for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    plan = Plan(histogram, size, unit, gap, slack)
+    counts = counts.withColumn("rank_start", F.coalesce(F.sum("n").over(before(Window.partitionBy("window", "rest"))), F.lit(0)))
+    parts = counts.groupBy("window", "part").agg(F.sum("wholes").alias("wholes")).select(
+        "window", "part", F.coalesce(F.sum("wholes").over(before(Window.partitionBy("window"))), F.lit(0)).alias("whole_start"))
+    counts = stored(counts.join(parts, ["window", "part"]), "pack-offsets")
+    histograms: list[dict[int, int]] = [{} for _ in range(windows)]
+    n_wholes = [0] * windows
+    for r in counts.groupBy("window", "rest").agg(F.sum("n").alias("n"), F.sum("wholes").alias("wholes")).collect():
+        histograms[r.window][r.rest] = r.n
+        n_wholes[r.window] += r.wholes
+    plans, numbers, first = [], [], 0
+    for histogram, wholes in zip(histograms, n_wholes):
+        plans.append(Plan(histogram, size, unit, gap, slack))
+        numbers.append(Numbers(first, plans[-1].first_whole, wholes))
+        first += plans[-1].first_whole + wholes
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            columns = [batch[c].to_pylist() for c in ("n_tokens", "rest", "rank", "rank_start", "whole_rank", "whole_start")]
+            columns = [batch[c].to_pylist() for c in ("window", "n_tokens", "rest", "rank", "rank_start", "whole_rank", "whole_start")]
             flat, _ = ids_of(batch["ids"], width)
             raw, at = memoryview(flat.astype("<u4").tobytes()), 0
-            for i, (n, rest, rank, rank_start, whole, whole_start) in enumerate(zip(*columns)):
-                cut = n - rest
-                pieces = [(a, size, plan.first_whole + whole + whole_start + a // size, 0) for a in range(0, cut, size)]
+            for i, (w, n, rest, rank, rank_start, whole, whole_start) in enumerate(zip(*columns)):
+                plan, number, cut = plans[w], numbers[w], n - rest
+                if order:
+                    id_of_whole, id_of_other = number.whole, number.other
+                else:
+                    id_of_whole, id_of_other = plan.first_whole.__add__, int
+                pieces = [(a, size, id_of_whole(whole + whole_start + a // size), 0) for a in range(0, cut, size)]
                 if rest:
-                    pieces += [(cut + a, m, s, o) for a, m, s, o in plan.pieces(rest, rank + rank_start)]
+                    pieces += [(cut + a, m, id_of_other(s), o) for a, m, s, o in plan.pieces(rest, rank + rank_start)]
                 rows += [(i, a, m, n, s, o, bytes(raw[4 * (at + a):4 * (at + a + m)])) for a, m, s, o in pieces]
                 at += n
             index, *rest_columns = zip(*rows) if rows else [()] * 7
@@ -240,6 +284,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
                 [batch["key"].take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(rest_columns, kinds))],
                 ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    joined = encoded.join(counts.select("part", "rest", "rank_start", "whole_start"), ["part", "rest"])
-    return joined.select("key", "n_tokens", "rest", "rank", "rank_start", "whole_rank", "whole_start", "ids").mapInArrow(
+    joined = encoded.join(counts.select("window", "part", "rest", "rank_start", "whole_start"), ["window", "part", "rest"])
+    return joined.select("key", "window", "n_tokens", "rest", "rank", "rank_start", "whole_rank", "whole_start", "ids").mapInArrow(
         placed, f"key {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -231,3 +231,36 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     text = {r.doc_id: r.text for r in docs.collect()}
     assert "jo.doe" not in text[103] and "555-3756" not in text[103] and text[7] == good[7]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[3]
+
+
+def test_pipeline_sequences_follow_the_mix(spark):
+    """A source of long documents and one of short ones: every prefix of the sequences has the shares of the mix."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    rows = [(i, " ".join(word() for _ in range(6000)), "long") for i in range(60)]
+    rows += [(1000 + i, " ".join(word() for _ in range(rng.randint(20, 700))), "short") for i in range(5000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.packing(spark, docs, "").collect()
+    source = {i: s for i, _, s in rows}
+    plan = {r.key: (r.position, r.phase) for r in corpus_pipeline.mix_plan(docs, block=corpus_pipeline.MIX_BLOCK).collect()}
+    # what the order has up to each document against what the sequences have, as shares of all tokens
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    total, ordered, points = sum(tokens.values()), [], 0
+    run = Counter()
+    for i in sorted(plan, key=lambda i: (plan[i][0], i)):
+        run[source[i]] += tokens[i]
+        ordered.append((sum(run.values()), run["long"]))
+    assert sum(r.length for r in got) == total and len({r.sequence_id for r in got}) == max(r.sequence_id for r in got) + 1
+    done, long_done, k = 0, 0, 0
+    for r in sorted(got, key=lambda r: r.sequence_id):
+        done, long_done = done + r.length, long_done + r.length * (source[r.doc_id] == "long")
+        while ordered[k][0] < done:
+            k += 1
+        assert abs(long_done - ordered[k][1]) < 0.1 * total
+        points += 1
+    assert points == len(got)
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert all(n <= 1024 for n in filled.values()) and 1 - total / (1024 * len(filled)) < 0.03
