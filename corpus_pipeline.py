@@ -5,7 +5,7 @@ Each stage is a function of (spark, docs, sf_dir), works on all that its predece
 rereads it as the next one's documents.
 
 1. ``quality``: drops failing lines, then documents that fail (the text is what stays, ``n_chars`` its length).
-2. ``near_duplicates``: one document of each group stays, the one with the smallest id. Documents without id stay.
+2. ``near_duplicates``: one document of each group stays, the one with the smallest id (ids come before none, then the first row). Texts decide, not ids.
 3. ``private``: personal data become pseudonyms.
 4. ``mixing``: documents in mixed order; each stays exactly once, the stored files follow the order.
 5. ``packing``: ids of the byte-level tokenizer in sequences of 1024, whose ids follow the mixed order.
@@ -41,12 +41,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays; of rows that repeat it, one."""
-    groups = near_duplicates(docs, percent=NEAR_PERCENT)
-    dropped = stored(groups.filter("not kept").select("doc_id").distinct(), "pipeline-dropped")
-    stays = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
-    numbered = stays.filter("doc_id is not null")
-    return numbered.dropDuplicates(["doc_id"]).unionByName(stays.filter("doc_id is null"))
+    """One row of each group stays. Rows have stored numbers of their own: repeated and null ids are judged by their texts."""
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = near_duplicates(rows, key="row", percent=NEAR_PERCENT).select("row", "component_id")
+    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    stays = stored(first.select("first.row"), "pipeline-stays")
+    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,13 @@ def test_pipeline_sequences_follow_the_mix(spark):
     for r in got:
         filled[r.sequence_id] += r.length
     assert all(n <= 1024 for n in filled.values()) and 1 - total / (1024 * len(filled)) < 0.03
+
+
+def test_pipeline_dedup_judges_rows_by_their_texts(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(5))
+    # id 5 has two unlike texts, one of them a copy of id 1; rows without id hold one copy pair and a copy of id 1
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (None, d), (None, d), (None, a), (None, e), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, docs, "").collect())
+    assert got == Counter([(1, a), (5, b), (6, c), (None, d), (None, e), (7, ""), (7, None)])
