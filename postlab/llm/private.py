@@ -4,7 +4,7 @@ Each value found and validated is replaced by a keyed permutation of itself with
 over its digits (or hex digits, letters, days, addresses). The same value under the same key gives the same
 pseudonym in every document, whatever its separators, so links survive; without the key it can't be undone, with the
 key ``undo=True`` undoes it. Validated means: a value that fails its check (Luhn, mod 97, octets, calendar, number
-ranges) is an ordinary number and stays.
+ranges) is an ordinary number and stays; then the shorter and later groups of its digits are tried.
 
 | kind | check | permuted | kept |
 | --- | --- | --- | --- |
@@ -28,7 +28,7 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -47,9 +47,12 @@ _NUMBERS = re.compile(
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,6}(?!\w)|(?<![\w)])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d))"
+    r"|(?P<date>(?:(?<![\w\-/.])|(?<=\d{4}-\d{2}-\d{2}/)|(?<=\dZ/)|(?<=:\d{2}/))\d{4}-\d{2}-\d{2}(?=T\d|/|(?![\w\-]|\.\d))"
+    r"|(?<![\w\-/.])(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
-    r"|(?P<card>(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))")
+    r"|(?P<card>(?:(?<![\w.\-])|(?<=\d-))\d(?:[ \-]?\d){12,18}(?![\w\-]))")
+_RUN = re.compile(r"\d+(?:[ \-]\d+)*(?!\w)")
+_GROUP = re.compile(r"\d+")
 
 
 class Feistel:
@@ -143,16 +146,39 @@ def _email(f: Feistel, value: str) -> str:
     return f"{f.text(head, 'email')}.{last}"
 
 
-def _card(f: Feistel, value: str) -> str | None:
+def _is_card(d: list[int]) -> bool:
+    return luhn(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
+def _card(f: Feistel, value: str, clash: Callable[[str], bool] = lambda made: False) -> str | None:
+    """``clash`` tells whether a pseudonym would be found in another place; then the next one is taken."""
     d = _only(value)
-    if luhn(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not _is_card(d):
         return None
     body = d[:-1]
     while True:         # a number of one repeated digit isn't taken for a card, so none is made either
         body = f.digits(body, [10] * len(body), "card")
         out = [*body, luhn(body)]
-        if len(set(out)) > 1:
-            return _refill(value, out)
+        if len(set(out)) > 1 and not clash(made := _refill(value, out)):
+            return made
+
+
+def _windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where a card that starts here may end: the span found, then others of 13 to 19 digits at group borders, longest first.
+    None reaches into a value of another kind."""
+    ends, n = [], 0
+    run = _RUN.match(text, start)
+    for group in _GROUP.finditer(text, start, run.end() if run else end):
+        if group.start() > start and (other := _NUMBERS.match(text, group.start())) and other.lastgroup != "card":
+            end = min(end, group.start() - 1)
+            break
+        n += len(group[0])
+        if n > 19:
+            break
+        if n >= 13 and group.end() != end:
+            ends.append(group.end())
+    whole = sum(c in _DIGITS for c in text[start:end]) >= 13 and end not in ends
+    return [(start, e) for e in ([end] * whole + ends[::-1])]
 
 
 def _iban(f: Feistel, value: str) -> str | None:
@@ -238,14 +264,26 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
         found += [(m.start(), m.end(), "email", _email(f, m[0])) for m in _EMAIL.finditer(text)]
     found += [(m.start(1), m.end(1), "secret", _secret(f, m[1])) for m in _SECRET.finditer(text)]
     at = 0
+    tried: list[tuple[int, int]] = []               # spans that are no cards and must not become any
     while m := _NUMBERS.search(text, at):
-        made = _REPLACE[m.lastgroup](f, m[0])
-        if made is None and m.lastgroup == "iban":
-            at = m.start() + 1                      # what follows may hold another kind
-            continue
-        at = m.end()
+        made, end = None, m.end()
+        if m.lastgroup == "card":
+            tried = [x for x in tried if x[1] > m.start()]
+            for start, end in _windows(text, m.start(), m.end()):
+                made = _card(f, text[start:end], lambda made: any(_is_card(_only(  # noqa: B023
+                    text[s:start] + made[max(s - start, 0):e - start] + text[end:e])) for s, e in tried))  # noqa: B023
+                if made is not None:
+                    break
+                tried.append((start, end))
+        else:
+            made = _REPLACE[m.lastgroup](f, m[0])
         if made is not None:
-            found.append((m.start(), m.end(), m.lastgroup, made))
+            found.append((m.start(), end, m.lastgroup, made))
+            at = end
+        elif m.lastgroup == "iban":
+            at = m.start() + 1                      # what follows may hold another kind
+        else:
+            at = _GROUP.search(text, m.start()).end()       # so may the later groups of digits
     out, end, counts = [], 0, {}
     for a, b, kind, made in sorted(found, key=lambda x: (x[0], -x[1])):
         if a < end:

@@ -70,6 +70,22 @@ def test_private_links_and_is_a_permutation():
     assert len({tuple(f.digits([i // 10, i % 10], [10, 10], "t")) for i in range(100)}) == 100
 
 
+@pytest.mark.parametrize("text, kinds, stays", [
+    ("4111 1111 1111 1111 123", {"card": 1}, " 123"), ("4111111111111111 12 items", {"card": 1}, " 12 items"),
+    ("no 5 4111 1111 1111 1111", {"card": 1}, "no 5 "), ("4111-1111-1111-1111-123", {"card": 1}, "-123"),
+    ("12345 4111 1111 1111 1111", {"card": 1}, "12345 "), ("5-4111-1111-1111-1111", {"card": 1}, "5-"),
+    ("1234567 123-45-6789", {"ssn": 1}, "1234567 "), ("4111 1111 1111 1111 4111 1111 1111 1111", {"card": 2}, " "),
+    ("4111 1111 1111 1111 10.0.0.1", {"card": 1, "ip": 1}, " "), ("+1 4111 1111 1111 1111", {"card": 1}, "+1 "),
+    ("1234 5678 9012 3456 78", {}, "1234 5678 9012 3456 78"),
+    ("at 2021-03-04T10:11:12Z", {"date": 1}, "T10:11:12Z"), ("2021-03-04/2021-03-09", {"date": 2}, "/"),
+    ("2021-03-04T10:11:12Z/2021-03-05T10:11:12Z", {"date": 2}, "T10:11:12Z/"), ("2021-13-04T10:11:12", {}, "2021-13-04T10:11:12")])
+def test_private_values_beside_other_numbers(text, kinds, stays):
+    for key in range(100):
+        made, counts = pseudonymise(text, Feistel(b"%d" % key))
+        assert counts == kinds and stays in made and (made == text) == (not kinds)
+        assert pseudonymise(made, Feistel(b"%d" % key, undo=True)) == (text, kinds)
+
+
 def test_private_odd_rows(odd, none):
     rows = pseudonymise_column(odd, b"k").collect()
     assert len(rows) == 9 and sum(r.n_private for r in rows) == 0 and pseudonymise_column(none, b"k").count() == 0
