@@ -21,8 +21,8 @@ split over tasks; a place is grouped over at most its distinct forms, in two ste
 Text rules: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by one space in page order. Inline tags do not end a block.
 
-Defined cases: null or empty html, and html without text, give an empty text; an unparsable url is a host of its own name; repeated pages count
-as pages; an empty table gives an empty table; other columns are not kept.
+Defined cases: null or empty html, and html without text, give an empty text; an unparsable url is a host of its own name; pages of a host
+with equal blocks count as one page in all statistics, and each gets its text; an empty table gives an empty table; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -159,14 +159,17 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     host = F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.col("url"), F.lit(""))
     parsed = stored(
         source.mapInPandas(parse, f"key {kind}, url string, blocks array<struct<place:string,weight:int,text:string>>")
-        .withColumn("host", host).withColumn("row", F.expr("uuid()")), "main-text-pages")
+        .withColumn("host", host).withColumn("page", F.xxhash64("blocks")), "main-text-pages")
 
-    n_pages = stored(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "main-text-hosts")
+    # copies of a page have one vote: below, a page is a hash of all its blocks
+    n_pages = stored(parsed.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages")),
+                     "main-text-hosts")
     # one row per page and place: its child list (presentation) and its text (content), as hashes
-    shown = parsed.select("host", "row", F.explode("blocks").alias("b")).select("host", "row", "b.place", "b.text")
-    nodes = parsed.select("host", "row", F.explode(F.array_distinct(F.transform("blocks", lambda b: b.place))).alias("place"), "blocks")
-    nodes = nodes.select("host", "place", F.filter("blocks", lambda b: b.place == F.col("place")).alias("own")).select(
-        "host", "place", F.size("own").alias("form"), F.xxhash64(F.transform("own", lambda b: b.text)).alias("content"))
+    shown = parsed.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.place", "b.text")
+    nodes = parsed.select("host", "page", F.explode(F.array_distinct(F.transform("blocks", lambda b: b.place))).alias("place"), "blocks")
+    nodes = nodes.select("host", "page", "place", F.filter("blocks", lambda b: b.place == F.col("place")).alias("own")).select(
+        "host", "page", "place", F.size("own").alias("form"), F.xxhash64(F.transform("own", lambda b: b.text)).alias("content"))
+    nodes = nodes.groupBy("host", "page", "place").agg(F.first("form").alias("form"), F.first("content").alias("content"))
 
     def entropy(form: str) -> DataFrame:
         counts = nodes.groupBy("host", "place", form).agg(F.count(F.lit(1)).alias("n"))
@@ -176,7 +179,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     tree = stored(entropy("form").join(entropy("content").drop("seen"), ["host", "place"]).withColumn(
         "importance", 1 - (1 - F.col("by_form")) * (1 - F.col("by_content"))), "main-text-tree")
     # texts that stand at one place on most pages of their host
-    common = (shown.groupBy("host", "place", F.xxhash64("text").alias("hash"), "row").agg(F.lit(1).alias("one"))
+    common = (shown.groupBy("host", "place", F.xxhash64("text").alias("hash"), "page").agg(F.lit(1).alias("one"))
               .groupBy("host", "place", "hash").agg(F.count(F.lit(1)).alias("n"))
               .join(n_pages, "host").filter((F.col("pages") >= min_pages) & (F.col("n") > F.col("pages") * repeated)))
     low = (tree.join(n_pages, "host").filter((F.col("pages") >= min_pages) & (F.col("seen") >= min_pages) & (F.col("importance") < least)))

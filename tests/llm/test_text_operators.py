@@ -117,6 +117,16 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
     assert by[100] == "Welcome to our site Story 100 begins. It ends with 100."        # one page tells nothing about its host
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_style_tree_counts_copies_of_a_page_once(spark, tag):
+    page = f"<body><div class='top'>Welcome</div><{tag} class='body'><h1>Head {{0}}</h1><p>Story {{0}} begins.</p></{tag}></body>"
+    numbers = [*range(6), *[50] * 30]
+    pages = spark.createDataFrame([(k, f"http://one.example/{k}", page.format(i)) for k, i in enumerate(numbers)],
+                                  "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert by == {k: f"Head {i} Story {i} begins." for k, i in enumerate(numbers)}
+
+
 def test_blocks_never_fail():
     rng = random.Random(2)
     parts = ["<p>", "</p>", "<div", ">", "<!--", "-->", "&amp", "&#x41;", "text", "<b>", "</x>", "<script>", "<td>", "'", '"', "<![CDATA[", "]]>", "</"]
