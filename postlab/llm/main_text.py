@@ -30,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -51,6 +52,8 @@ NAMES = re.compile(
     r"menubar|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|aside|widget|related|recommended|share|sharing|social|"
     r"cookie|cookies|consent|notice|notices|gdpr|newsletter|subscribe|signup|login|popup|modal|overlay|comment|comments|"
     r"commentlist|discussion|disqus|respond|reply|replies|pagination|pager|toolbar|copyright|legal|disclaimer|skip|search|form)(?:$|[\s_\-\d])", re.I)
+#: Starts of names that tell how a page or post is laid out or filed, not what the element is.
+STATE = re.compile(r"(?:has|no|with|without|is|not|category|cat|tag|type|format|status)[\-_]", re.I)
 #: Elements that hold the article.
 CONTENT = frozenset(("article", "main"))
 CLOSED_BY = {"p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
@@ -61,24 +64,51 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote center details dia
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class Element:
+    """``hard``: furniture by tag, role or hidden; ``named``: by a class or id name; ``nested``: inline tags of its name open in it."""
+
+    tag: str
+    place: str
+    parent: Element | None
+    hard: bool = False
+    named: bool = False
+    content: bool = False
+    nested: int = 0
+
+    def line(self) -> Iterator[Element]:
+        at: Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
+
+    def weight(self, spared: frozenset[Element] = frozenset()) -> int:
+        line = list(self.line())
+        if any(e.hard or (e.named and e not in spared) for e in line):
+            return 0
+        return 2 if any(e.content for e in line) else 1
+
+
 def blocks(page: str) -> list[tuple[str, int, str]]:
     """(place, weight, text) of the blocks of a page in order. Weight: 0 furniture, 1 neutral, 2 inside an article.
 
     An unclosed block ends where HTML says it does; a closing tag without an open one is ignored; an unclosed comment or raw
-    element takes the rest of the page.
+    element takes the rest of the page. A class or id name doesn't make furniture of an article outside other articles, nor,
+    if all articles of the page would go by names, of what holds the first of them or a main element.
     """
-    out: list[tuple[str, int, str]] = []
+    out: list[tuple[Element, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, str, int]] = [("", "", 1)]           # tag, place, weight
+    stack = [Element("", "", None)]
+    holders: list[Element] = []                                 # the elements of CONTENT
 
     def flush() -> None:
         joined = _SPACES.sub(" ", entities.unescape("".join(text))).strip()
         if joined:
-            out.append((stack[-1][1], stack[-1][2], joined))
+            out.append((stack[-1], joined))
         text.clear()
 
     at, end = 0, len(page)
@@ -95,20 +125,29 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             continue
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            if tag in INLINE:
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            if tag in INLINE and not depth:
+                continue
+            if tag in INLINE and stack[depth].nested:
+                stack[depth].nested -= 1
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             flush()
             if depth:
                 del stack[depth:]
             continue
         if tag in INLINE and tag not in RAW:
-            if not _hidden(token):
+            if tag in VOID:
+                continue
+            if "hidden" not in _attributes(token):
+                # only hidden inline elements are on the stack; one inside another of its name closes first
+                outer = next((e for e in reversed(stack) if e.tag == tag), None)
+                if outer:
+                    outer.nested += 1
                 continue
         flush()
         if tag in VOID:
             continue
-        while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
+        while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
             stack.pop()
         if tag in RAW and not token.endswith("/>"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -116,27 +155,41 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             continue
         if token.endswith("/>") and tag in RAW:
             continue
-        name, weight = _looks(tag, token, stack[-1])
-        stack.append((tag, f"{stack[-1][1]}/{name}", weight))
+        stack.append(_looks(tag, token, stack[-1]))
+        if stack[-1].content:
+            holders.append(stack[-1])
     flush()
-    return out
-
-
-def _hidden(token: str) -> bool:
-    return bool(re.search(r"\shidden(?:\s|=|>)", token, re.I))
-
-
-def _looks(tag: str, token: str, parent: tuple[str, str, int]) -> tuple[str, int]:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token)} if " " in token or "\n" in token else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    inside = parent[2] == 2
+    weights = {e: e.weight() for e, _ in out}
+    if holders and 2 not in weights.values():
+        shown = [e for e in holders if not any(x.hard for x in e.line())]
+        first = [e for e in shown if e.tag != "article"] or shown
+        spared = frozenset(x for e in first[:1] for x in e.line())
+        weights = {e: e.weight(spared) for e in weights}
+    return [(e.place, weights[e], t) for e, t in out]
+
+
+def _attributes(token: str) -> dict[str, str]:
+    """Attributes of a tag by their exact names; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    name = _NAME.match(token)
+    for m in _ATTRIBUTE.finditer(token, name.end()):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _looks(tag: str, token: str, parent: Element) -> Element:
+    found = _attributes(token)
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    role = found.get("role", "").strip().lower()
+    above = list(parent.line())
+    content = tag in CONTENT or role == "main"
     # an article has a header of its own: its title
-    furniture = tag in FURNITURE and not (inside and tag == "header")
-    furniture = furniture or found.get("role", "").lower() in ROLES or "hidden" in found or bool(names.strip() and NAMES.search(names)
-                                                                                              and tag not in ("body", "html"))
-    weight = 0 if parent[2] == 0 or furniture else 2 if inside or tag in CONTENT or found.get("role") == "main" else 1
-    style = re.sub(r"\d+", "#", names).split()
-    return ".".join([tag, *style]), weight
+    hard = (tag in FURNITURE and not (tag == "header" and any(e.content for e in above))) or role in ROLES or "hidden" in found
+    named = any(NAMES.search(n) and not STATE.match(n) for n in names) and tag not in ("body", "html")
+    # an article inside another may be a comment or a related one; any other isn't judged by names
+    named = named and not (content and not any(e.tag == "article" for e in above))
+    place = ".".join([tag, *re.sub(r"\d+", "#", " ".join(names)).split()])
+    return Element(tag, f"{parent.place}/{place}", parent, hard, named, content)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5,

@@ -127,6 +127,22 @@ def test_style_tree_counts_copies_of_a_page_once(spark, tag):
     assert by == {k: f"Head {i} Story {i} begins." for k, i in enumerate(numbers)}
 
 
+@pytest.mark.parametrize("page, kept", [
+    ("<div style='overflow:hidden'>a</div>", "a"), ("<div aria-hidden='false'>a</div>", "a"), ("<p title='the hidden lake'>a</p>", "a"),
+    ("<div data-role='navigation' data-id='footer'>a</div>", "a"), ("<div hidden>a</div><p hidden=''>b</p>c", "c"),
+    ("<div role='navigation'>a</div>b", "b"), ("<div class=menu>a</div>b", "b"),
+    ("<div class='site-content has-sidebar'><article>a</article></div>", "a"), ("<div class='layout no-sidebar'><main>a</main></div>", "a"),
+    ("<article class='post-12 category-legal'>a</article>", "a"), ("<article class='legal'>a</article>", "a"),
+    ("<div class='search-page'><article>a<div class='share'>b</div></article></div><div class='comments'>c</div>", "a"),
+    ("<div class='related'><article>b</article></div><article>a</article>", "a"),
+    ("<div class='widget'><article>a</article><div class='comments'><article>b</article></div></div>", "a"),
+    ("<article>a<article class='comment'>b</article></article>", "a"), ("<aside class='x'><article>b</article></aside>a", "a"),
+    ("<p>a <span hidden>b</span> c</p><p>d</p>", "a c d"), ("<p>a <span hidden>b<span>c</span>d</span> e</p>", "a e"),
+    ("<p>a <span hidden>b <b>c</b></span> d</p>", "a d"), ("<p>a <span title='hidden'>b</span> c</p>", "a b c")])
+def test_blocks_judge_attributes_by_name(page, kept):
+    assert " ".join(t for _, w, t in blocks(page) if w) == kept
+
+
 def test_blocks_never_fail():
     rng = random.Random(2)
     parts = ["<p>", "</p>", "<div", ">", "<!--", "-->", "&amp", "&#x41;", "text", "<b>", "</x>", "<script>", "<td>", "'", '"', "<![CDATA[", "]]>", "</"]
