@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from postlab.llm.tokens import encoder
+from postlab.llm.tokens import encoder, relieve
 
-#: Bytes of text that are encoded at once; a longer text goes alone.
-BATCH_BYTES = 16 << 20
+#: Bytes of text that are worked on at once, and that are encoded at once; a longer text goes alone.
+BATCH_BYTES, ENCODE_BYTES = 16 << 20, 4 << 20
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -72,11 +72,12 @@ def token_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end: int, wi
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
         own = encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             flat, counts = with_end(*own.encode(batch["text"]), end)
             yield pa.RecordBatch.from_arrays(
                 [batch["key"], pa.array(counts), binary(flat.astype(kind), counts).cast(pa.binary())],
                 ["key", "n_tokens", "ids"])
+        relieve()
 
     source = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
     kind = dict(source.dtypes)["key"]

@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlab.llm.encoded import id_width, ids_of, slices, with_end, binary
+from postlab.llm.encoded import ENCODE_BYTES, id_width, ids_of, slices, with_end, binary
 from postlab.llm.store import stored
-from postlab.llm.tokens import encoder
+from postlab.llm.tokens import encoder, relieve
 
 SIZE = 1024
 UNIT = 8
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
 
         part, kind = TaskContext.get().partitionId(), np.dtype("<u2") if width == 2 else np.dtype("<u4")
         seen, whole = np.zeros(windows * size, np.int64), np.zeros(windows, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             flat, counts = with_end(*encoder(tokenizer).encode(batch["text"]), end)
             rest = counts % size
             window = np.asarray(batch["at"]).astype(np.int64) // span
@@ -238,6 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: s
                 [batch["key"], pa.repeat(pa.scalar(part, pa.int32()), len(rest)), pa.array(window.astype(np.int32)), pa.array(counts),
                  pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(whole_rank), binary(flat.astype(kind), counts).cast(pa.binary())],
                 ["key", "part", "window", "n_tokens", "rest", "rank", "whole_rank", "ids"])
+        relieve()
 
     kind = dict(source.dtypes)["key"]
     encoded = stored(source.mapInArrow(

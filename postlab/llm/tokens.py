@@ -7,6 +7,9 @@ encode whole texts. Results are those of ``Tokenizer.encode(text, add_special_to
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import json
 import os
@@ -17,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Bytes of the pieces a worker remembers with their ids; the memory is emptied when they are more.
+REMEMBERED = 20 << 20
 #: Pieces per call of the tokenizer, joined by a special token.
 JOINED = 4096
 
@@ -36,6 +39,14 @@ _TAIL = re.compile(f"(.*[A-Za-z0-9{_ACCENTED}])([!-/:-@\\[-`{{-~]+)", re.S)
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def relieve() -> None:
+    """Give free memory back to the system at the end of a task: a reused worker idles while others work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str) -> "Encoder":
     """The worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
@@ -58,9 +69,10 @@ class Encoder:
             self.kind = "whole"
         self.mark = special[0]["content"] if special else None
         self.mark_id = special[0]["id"] if special else None
-        self.special = [t["content"] for t in special]
-        self.known: dict[str, bytes] = {}
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in special) or "(?!)").search
+        self.forget()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.space = byte_level.pre_tokenize_str(" ")[0][0]
         self.as_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in " " + _ACCENTED}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +82,7 @@ class Encoder:
             return self._whole(texts)
         pieces, owner = self._split(texts)
         encoded = pieces.dictionary_encode()
-        blobs = self._lookup(encoded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        starts, sizes, flat = self.pieces(encoded.dictionary)
         index = np.asarray(encoded.indices)
         lengths = sizes[index]
         ends = np.cumsum(lengths)
@@ -111,41 +120,54 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return pa.concat_arrays([glued.filter(pa.array(keep)), more]).take(pa.array(order)), owner[order]
 
-    def _lookup(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        plain, cut = set(), []
-        for p in pieces:
-            if p in known:
-                continue
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct piece start in an array of ids, how many they are, and that array."""
+        if self.words.nbytes + self.ends.nbytes + self.flat.nbytes > REMEMBERED:
+            self.forget()
+        at = pc.index_in(pieces, value_set=self.words)
+        new = np.asarray(at.is_null())
+        plain, cut, unknown = set(), {}, pieces.filter(at.is_null()).to_pylist()
+        for p in unknown:
             m = None if p[-1:].isalpha() else _TAIL.fullmatch(p)
-            if m is None or any(s in p for s in self.special):
+            if m is None or self.marks(p):
                 plain.add(p)
             else:
-                core, tail = m.groups()
-                cut.append((p, core, tail))
-                if core not in known:
-                    plain.add(core)
-                if tail not in known:
-                    plain.add(tail)
-        self._learn(plain)
-        for p, core, tail in cut:
-            known[p] = known[core] + known[tail]
-        return [known[p] for p in pieces]
-
-    def _learn(self, pieces: set[str]) -> None:
+                cut[p] = m.groups()
+                plain.update(m.groups())
+        asked = list(plain)
+        found = pc.index_in(pa.array(asked, pa.large_string()), value_set=self.words).to_pylist()
+        fresh = self._learn({p for p, i in zip(asked, found) if i is None})
+        parts = {p: self.flat[self.ends[i]:self.ends[i + 1]].tobytes() for p, i in zip(asked, found) if i is not None}
+        parts.update(fresh)
+        for p, (core, tail) in cut.items():
+            fresh[p] = parts[core] + parts[tail]
+        place = dict(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+        sizes = np.fromiter(map(len, fresh.values()), np.int64, len(fresh)) // 4
+        self.words = pa.concat_arrays([self.words, pa.array(list(fresh), pa.large_string())])
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(fresh.values()), np.uint32)))
+        index = np.asarray(at.fill_null(0)).astype(np.int64)
+        index[new] = np.fromiter(map(place.__getitem__, unknown), np.int64, len(unknown))
+        return self.ends[index], self.ends[index + 1] - self.ends[index], self.flat
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Encode pieces. One run of Latin letters is a single word for the model, which saves the splitting."""
-        known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
+        known, tokenize, rest = {}, self.tokenizer.model.tokenize, []
         latin, spaced = _LATIN.fullmatch, self.kind == "spaced"
         known[""] = b""
         for p in pieces:
             if latin(p) and (spaced or p[0] != " "):
                 word = p if spaced else p.lower()
-                if spaced or not word.isascii():
+                if not word.isascii():
                     word = word.translate(self.as_bytes)
+                elif spaced:
+                    word = word.replace(" ", self.space)
                 known[p] = array("I", [t.id for t in tokenize(word)]).tobytes()
-            elif any(s in p for s in self.special):
+            elif self.marks(p):
                 known[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
             elif p:
                 rest.append(p)
@@ -157,6 +179,7 @@ class Encoder:
             blob = ids.tobytes()
             for p, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(blob)], strict=True):
                 known[p] = blob[a:b]
+        return known
 
 
 def _kind(spec: dict) -> str:
