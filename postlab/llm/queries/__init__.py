@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("quality", "private", "mixing", "huffman", "packing", "near", "main_text", "scoring", "repeats", "neighbours", "bestfit", "dialogues")
+_MODULES = ("quality", "private", "mixing", "huffman", "packing", "near", "main_text", "scoring", "repeats", "neighbours", "bestfit", "dialogues", "alignment")
 
 for _name in _MODULES:
     _module = importlib.import_module(f"{__name__}.{_name}")

@@ -28,7 +28,7 @@ JOINED = 4096
 #: Unicode white space, as the patterns of byte-level tokenizers see it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_RUNS = "[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | $"
+RUNS = "[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | $"
 
 #: Letters that are one code point, stay so under NFC, and are lowered each by itself.
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
@@ -109,7 +109,7 @@ class Encoder:
         # a space belongs to the piece behind it; only the first piece of a text has none
         first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
         glued = pc.if_else(pa.array(first), pieces, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pieces, pa.scalar(" ", pa.large_string())))
-        runs = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _RUNS)))
+        runs = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, RUNS)))
         if not len(runs):
             return glued, owner
         # texts with runs of white space are cut before each run instead
