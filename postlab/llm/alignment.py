@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from postlab.llm.encoded import slices
 from postlab.llm.shingles import mixed
 from postlab.llm.store import stored
-from postlab.llm.tokens import RUNS, encoder, relieve
+from postlab.llm.tokens import RUNS, encoder, relieve, spans
 
 CHUNK = 8 << 20
 #: Pairs that one bucket of the exchange gets; documents whose groups are written out at once; words per call of B.
@@ -91,17 +91,17 @@ class Aligner:
         order = np.argsort(owner, kind="stable")
         return pa.concat_arrays([glued, spaced.take(pa.array(whole))]).take(pa.array(order)), owner[order]
 
-    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ids(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A for all words and how many each has, then those of B."""
-        starts, n_a, flat = self.a.pieces(words)
-        marked = [i for i, w in enumerate(words.to_pylist()) if self.a.marks(w)] if self.a.marks("".join(words.to_pylist())) else []
-        if marked:
+        starts, n_a, flat = self.a.pieces(words, counts)
+        marked = np.flatnonzero(np.asarray(pc.match_substring_regex(words, self.a.marks)))
+        if len(marked):
             starts, n_a = starts.copy(), n_a.copy()
             own = [e.ids for e in self.plain.encode_batch(words.take(pa.array(marked)).to_pylist(), add_special_tokens=False)]
             n_a[marked] = list(map(len, own))
             starts[marked] = len(flat) + np.cumsum(n_a[marked]) - n_a[marked]
             flat = np.concatenate((flat, np.concatenate([np.array(x, np.uint32) for x in own])))
-        a = flat[_spans(starts, n_a)].astype(np.int64)
+        a = flat[spans(starts, n_a)].astype(np.int64)
         n_b, b = np.zeros(len(words), np.int64), []
         for i in range(0, len(words), WORDS):
             got = self.b.encode([w[1:] for w in words.slice(i, WORDS).to_pylist()], num_threads=1)
@@ -130,12 +130,6 @@ def _string(value: str) -> pa.Scalar:
     return pa.scalar(value, pa.large_string())
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of all spans, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _strings(counts: np.ndarray, values: pa.Array, between: str) -> pa.Array:
     """Values joined in runs of these sizes."""
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int64()), values), _string(between))
@@ -144,8 +138,8 @@ def _strings(counts: np.ndarray, values: pa.Array, between: str) -> pa.Array:
 class Linked:
     """Distinct words of a chunk with their groups and links; words that aren't given back have none."""
 
-    def __init__(self, own: Aligner, words: pa.Array):
-        a, n_a, b, n_b = own.ids(words)
+    def __init__(self, own: Aligner, words: pa.Array, counts: np.ndarray):
+        a, n_a, b, n_b = own.ids(words, counts)
         self.good = own.good(words, a, n_a, b, n_b)
         n = len(words)
         word_a, word_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
@@ -196,9 +190,9 @@ def _chunks(docs: DataFrame, key: str, text: str, a: str, b: str, written: bool)
             texts = pc.fill_null(batch["text"].cast(pa.large_string()), "")
             words, owner = own.words(texts)
             encoded = words.dictionary_encode()
-            index, linked = np.asarray(encoded.indices).astype(np.int64), Linked(own, encoded.dictionary)
+            n, distinct, index = len(texts), len(encoded.dictionary), np.asarray(encoded.indices).astype(np.int64)
+            linked = Linked(own, encoded.dictionary, np.bincount(index, minlength=distinct))
             del words
-            n, distinct = len(texts), len(encoded.dictionary)
             alive = np.ones(n, bool)
             alive[owner[~linked.good[index]]] = False
             index, owner = index[alive[owner]], owner[alive[owner]]
@@ -230,7 +224,7 @@ def _chunks(docs: DataFrame, key: str, text: str, a: str, b: str, written: bool)
 
     def _expanded(doc, word, n_links, refs) -> np.ndarray:
         first = np.cumsum(n_links) - n_links
-        return np.repeat(doc, n_links[word]) * (int(refs.max()) + 1) + refs[_spans(first[word], n_links[word])]
+        return np.repeat(doc, n_links[word]) * (int(refs.max()) + 1) + refs[spans(first[word], n_links[word])]
 
     def _row(keys, values) -> pa.RecordBatch:
         own = pa.array([None], pa.list_(key_type)) if keys is None else pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)

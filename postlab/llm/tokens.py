@@ -20,8 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of the pieces a worker remembers with their ids; the memory is emptied when they are more.
-REMEMBERED = 20 << 20
+from postlab.llm.shingles import mixed
+
+#: Bytes of the pieces a worker remembers with their ids; the memory is emptied when they are more. A piece is remembered
+#: when it comes the second time; bits of a table of this size say what has come before.
+REMEMBERED, SEEN = 20 << 20, 1 << 22
 #: Pieces per call of the tokenizer, joined by a special token.
 JOINED = 4096
 
@@ -29,12 +32,15 @@ JOINED = 4096
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 RUNS = "[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | $"
+#: A control character to cut at (texts that hold it are cut like those with runs), and line feeds next to white space.
+_CUT = "\x1f"
+_FEEDS = f"[{_SPACE}]\n|\n[{_SPACE}]"
 
 #: Letters that are one code point, stay so under NFC, and are lowered each by itself.
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
-_LATIN = re.compile(f" ?[A-Za-z{_ACCENTED}]+")
+_LATIN = f"^ ?[A-Za-z{_ACCENTED}]+$"
 #: Punctuation behind a letter or digit begins a new piece in both kinds.
-_TAIL = re.compile(f"(.*[A-Za-z0-9{_ACCENTED}])([!-/:-@\\[-`{{-~]+)", re.S)
+_TAIL = f"(?s)^(?P<core>.*[A-Za-z0-9{_ACCENTED}])(?P<tail>[!-/:-@\\[-`{{-~]+)$"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -69,11 +75,17 @@ class Encoder:
             self.kind = "whole"
         self.mark = special[0]["content"] if special else None
         self.mark_id = special[0]["id"] if special else None
-        self.marks = re.compile("|".join(re.escape(t["content"]) for t in special) or "(?!)").search
+        self.marks = "|".join(re.escape(t["content"]) for t in special) or "$.^"
         self.forget()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.space = byte_level.pre_tokenize_str(" ")[0][0]
         self.as_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in " " + _ACCENTED}
+        # words of letters go to the model joined by the byte of a line feed, which none of them holds
+        self.split = byte_level.pre_tokenize_str("\n")[0][0]
+        self.single = Tokenizer(self.tokenizer.model)
+        self.single.pre_tokenizer = pre_tokenizers.Split(self.split, "isolated")
+        alone = self.single.encode(self.split, add_special_tokens=False).ids
+        self.split_id = alone[0] if len(alone) == 1 else None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has. Null is empty."""
@@ -82,12 +94,12 @@ class Encoder:
             return self._whole(texts)
         pieces, owner = self._split(texts)
         encoded = pieces.dictionary_encode()
-        starts, sizes, flat = self.pieces(encoded.dictionary)
         index = np.asarray(encoded.indices)
+        starts, sizes, flat = self.pieces(encoded.dictionary, np.bincount(index, minlength=len(encoded.dictionary)))
         lengths = sizes[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(total)
+        at = np.repeat((starts[index] - (ends - lengths)).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)
         counts = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
         return flat[at], counts
 
@@ -100,16 +112,13 @@ class Encoder:
         """Pieces of all texts in order, and the text each belongs to."""
         if self.kind == "words":
             lists = pc.ascii_split_whitespace(texts)
-        else:
-            lists = pc.split_pattern(texts, " ")
-        owner = np.asarray(pc.list_parent_indices(lists))
-        pieces = lists.flatten()
-        if self.kind == "words":
-            return pieces, owner
-        # a space belongs to the piece behind it; only the first piece of a text has none
-        first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
-        glued = pc.if_else(pa.array(first), pieces, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pieces, pa.scalar(" ", pa.large_string())))
-        runs = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, RUNS)))
+            return lists.flatten(), np.asarray(pc.list_parent_indices(lists))
+        # a space belongs to the piece behind it; a line feed between other things is a piece
+        mark = pc.replace_substring(texts, " ", f"{_CUT} ")
+        feeds = pc.and_not(pc.match_substring(texts, "\n"), pc.match_substring_regex(texts, _FEEDS))
+        lists = pc.split_pattern(pc.if_else(feeds, pc.replace_substring(mark, "\n", f"{_CUT}\n{_CUT}"), mark), _CUT)
+        owner, glued = np.asarray(pc.list_parent_indices(lists)), lists.flatten()
+        runs = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, f"{RUNS}|{_CUT}")))
         if not len(runs):
             return glued, owner
         # texts with runs of white space are cut before each run instead
@@ -122,64 +131,106 @@ class Encoder:
 
     def forget(self) -> None:
         self.words = pa.array([], pa.large_string())
-        self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.ends, self.flat, self.seen = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(SEEN, bool)
 
-    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the ids of each distinct piece start in an array of ids, how many they are, and that array."""
+    def pieces(self, pieces: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct piece start in an array of ids, how many they are, and that array. ``counts``: how often it comes."""
         if self.words.nbytes + self.ends.nbytes + self.flat.nbytes > REMEMBERED:
             self.forget()
+        old = len(self.words)
         at = pc.index_in(pieces, value_set=self.words)
-        new = np.asarray(at.is_null())
-        plain, cut, unknown = set(), {}, pieces.filter(at.is_null()).to_pylist()
-        for p in unknown:
-            m = None if p[-1:].isalpha() else _TAIL.fullmatch(p)
-            if m is None or self.marks(p):
-                plain.add(p)
-            else:
-                cut[p] = m.groups()
-                plain.update(m.groups())
-        asked = list(plain)
-        found = pc.index_in(pa.array(asked, pa.large_string()), value_set=self.words).to_pylist()
-        fresh = self._learn({p for p, i in zip(asked, found) if i is None})
-        parts = {p: self.flat[self.ends[i]:self.ends[i + 1]].tobytes() for p, i in zip(asked, found) if i is not None}
-        parts.update(fresh)
-        for p, (core, tail) in cut.items():
-            fresh[p] = parts[core] + parts[tail]
-        place = dict(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
-        sizes = np.fromiter(map(len, fresh.values()), np.int64, len(fresh)) // 4
-        self.words = pa.concat_arrays([self.words, pa.array(list(fresh), pa.large_string())])
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
-        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(fresh.values()), np.uint32)))
+        missing = np.asarray(at.is_null())
         index = np.asarray(at.fill_null(0)).astype(np.int64)
-        index[new] = np.fromiter(map(place.__getitem__, unknown), np.int64, len(unknown))
-        return self.ends[index], self.ends[index + 1] - self.ends[index], self.flat
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encode pieces. One run of Latin letters is a single word for the model, which saves the splitting."""
-        known, tokenize, rest = {}, self.tokenizer.model.tokenize, []
-        latin, spaced = _LATIN.fullmatch, self.kind == "spaced"
-        known[""] = b""
-        for p in pieces:
-            if latin(p) and (spaced or p[0] != " "):
-                word = p if spaced else p.lower()
-                if not word.isascii():
-                    word = word.translate(self.as_bytes)
-                elif spaced:
-                    word = word.replace(" ", self.space)
-                known[p] = array("I", [t.id for t in tokenize(word)]).tobytes()
-            elif self.marks(p):
-                known[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-            elif p:
-                rest.append(p)
-        for i in range(0, len(rest), JOINED):
-            part = rest[i:i + JOINED]
-            got = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(got, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
-            blob = ids.tobytes()
-            for p, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(blob)], strict=True):
-                known[p] = blob[a:b]
-        return known
+        unknown = pieces.filter(pa.array(missing))
+        # a word with a tail of punctuation is put together of the two
+        cut = pc.extract_regex(unknown, _TAIL)
+        plain = np.asarray(cut.is_null()) | np.asarray(pc.match_substring_regex(unknown, self.marks))
+        tailed = cut.filter(pa.array(~plain))
+        core, tail = pc.struct_field(tailed, "core"), pc.struct_field(tailed, "tail")
+        parts = pa.concat_arrays([unknown.filter(pa.array(plain)), core, tail]).dictionary_encode()
+        place = self._place(parts.dictionary)[np.asarray(parts.indices)]
+        n, half = int(plain.sum()), len(core)
+        at_core, at_tail = place[n:n + half], place[n + half:]
+        sizes = np.diff(self.ends)
+        both = np.stack((at_core, at_tail), axis=1).ravel()
+        ids = self.flat[spans(self.ends[both], sizes[both])]
+        own = np.empty(len(unknown), np.int64)
+        own[plain], own[~plain] = place[:n], len(self.words) + np.arange(half)
+        self._add(unknown.filter(pa.array(~plain)), sizes[at_core] + sizes[at_tail], ids)
+        index[missing] = own
+        ends, flat = self.ends, self.flat
+        often = np.bincount(place, minlength=len(self.words)) + np.bincount(index[missing], weights=counts[missing] - 1, minlength=len(self.words)) > 1
+        self._settle(old, often[old:])
+        return ends[index], ends[index + 1] - ends[index], flat
+
+    def _settle(self, old: int, often: np.ndarray) -> None:
+        """Of what is new since ``old``, remember what came often or has come before."""
+        start, sizes = int(self.ends[old]), np.diff(self.ends[old:])
+        ids = self.flat[start:].astype(np.uint64)
+        nth = np.arange(len(ids)) - np.repeat(self.ends[old:-1] - start, sizes)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(ids + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))))
+        bit = mixed(total[self.ends[old + 1:] - start] - total[self.ends[old:-1] - start]) & np.uint64(SEEN - 1)
+        keep = often | self.seen[bit]
+        self.seen[bit] = True
+        new = self.words.slice(old).filter(pa.array(keep))
+        kept_ids = self.flat[spans(self.ends[old:-1][keep], sizes[keep])]
+        self.words, self.ends, self.flat = self.words.slice(0, old), self.ends[:old + 1], self.flat[:start]
+        self._add(new, sizes[keep], kept_ids)
+
+    def _place(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces are remembered; new ones are learned."""
+        at = pc.index_in(pieces, value_set=self.words)
+        missing = np.asarray(at.is_null())
+        index = np.asarray(at.fill_null(0)).astype(np.int64)
+        index[missing] = len(self.words) + np.arange(int(missing.sum()))
+        new = pieces.filter(pa.array(missing))
+        self._add(new, *self._learn(new))
+        return index
+
+    def _add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids. One run of Latin letters is a single word for the model, which saves the splitting."""
+        spaced = self.kind == "spaced"
+        single = np.asarray(pc.match_substring_regex(pieces, _LATIN if spaced else _LATIN.replace(" ?", "", 1)))
+        if self.split_id is None:
+            single[:] = False
+        marked = ~single & np.asarray(pc.match_substring_regex(pieces, self.marks))
+        rest = ~single & ~marked
+        sizes, blobs = np.zeros(len(pieces), np.int64), []
+        words = pieces.filter(pa.array(single)).to_pylist()
+        words = [w if w.isascii() else w.translate(self.as_bytes) for w in (words if spaced else map(str.lower, words))]
+        asked = [(self.single, self.split, self.split_id, [w.replace(" ", self.space) for w in words], single),
+                 (self.tokenizer, self.mark, self.mark_id, pieces.filter(pa.array(rest)).to_pylist(), rest)]
+        for tokenizer, mark, mark_id, texts, which in asked:
+            found, counts = [], []
+            for i in range(0, len(texts), JOINED):
+                part = texts[i:i + JOINED]
+                ids = np.array(tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(ids == mark_id)
+                counts.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+                found.append(np.delete(ids, cuts))
+                if len(counts[-1]) != len(part):
+                    raise ValueError("a piece holds the mark that joins pieces")
+            sizes[which] = np.concatenate(counts) if counts else 0
+            blobs.append(np.concatenate(found) if found else np.zeros(0, np.uint32))
+        own = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces.filter(pa.array(marked)).to_pylist()]
+        sizes[marked] = list(map(len, own))
+        blobs.append(np.fromiter(itertools.chain.from_iterable(own), np.uint32))
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for which, ids in zip((single, rest, marked), blobs):
+            out[spans((ends - sizes)[which], sizes[which])] = ids
+        return sizes, out
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _kind(spec: dict) -> str:
