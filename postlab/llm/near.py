@@ -6,13 +6,14 @@
    rest in 16 bits: the number of its leading zeros and the 10 bits behind the first one.
 3. Bands of registers are hashed; classes that agree in a band are candidates. The threshold gives the widest bands that
    miss a pair just at it with a probability below ``MISSED``: 32 bands of 8 for 0.85 (4e-5), 42 bands of 6 for 0.80 (3e-6).
-4. Members of a large band are compared with a leader of the band (later with a few), not with each other. An estimate from
-   the sketches, corrected for registers that agree by chance, drops hopeless pairs; all others are verified on full sets. Leaders
-   and those linked to one leave the band; the rest is a smaller band with other leaders. A member just below the threshold is
-   also compared with linked members far enough from the leader (by the triangle inequality of the Jaccard distance,
-   no others can be near it). Bands of at most ``SMALL`` members compare all their pairs that are not yet
-   connected. So a band of any size is handled without all pairs, and no link between components is lost.
-5. Connected components of the verified links give the groups.
+4. Classes that bands connect are a cluster. A cluster's sketches and full sets meet in blocks of at most ``BLOCK`` bytes, together with
+   its most central class: there, pairs whose estimate from the sketches, corrected for registers that agree by chance, isn't hopeless are
+   verified on full sets, the likeliest first, and pairs that links already connect are skipped. So no pair is ever a row; a
+   block gives one link less than it has members at most.
+5. Only clusters of several blocks need more: their classes are dealt anew by the component they have so far, and blocks are compared two by two,
+   but never blocks of one component. So a group of any size that its centre links costs one pass, and no link between
+   components is lost.
+6. Connected components of the verified links give the groups.
 
 Memory per task: one batch of texts. A text that a third of the documents share is one class; a shingle that many
 share only matters through whole bands.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postlab.llm.components import components
 from postlab.llm.encoded import slices
@@ -35,13 +36,12 @@ from postlab.llm.shingles import mixed, shingle_sets
 from postlab.llm.store import stored
 
 REGISTERS, MANTISSA = 256, 10
+#: Bytes of the sets and sketches of a block.
+BLOCK = 4 << 20
 #: Probability that a pair just at the threshold agrees in no band.
 MISSED = 1e-4
 #: Values that fall on the registers of a small set in all passes, and the most passes.
 FILL, PASSES = 2560, 200
-SMALL = 64
-#: Leaders of a large band from the second round on.
-LEADERS = 32
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -131,41 +131,98 @@ def _bands(classes: DataFrame, width: int) -> DataFrame:
     return classes.select("node", "sketch").mapInArrow(made, "band long, node long")
 
 
-def _hopeful(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
-    """Pairs whose estimate doesn't lie six standard errors below ``floor``."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+def _links_of_block(members: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the members of a block, or between its two sides."""
+    members = sorted(members, key=lambda r: len(r["hashes"]))
+    sets = [np.frombuffer(r["hashes"], np.uint64) for r in members]
+    n = np.array(list(map(len, sets)))
+    side = np.array([r["side"] for r in members])
+    if len(members) == 1:
+        return []
+    registers = np.array([sketch(x) for x in sets])
+    names, group = np.unique([r["label"] for r in members], return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found, floor, two = [], percent / 100, side.min() != side.max()
+    for i in range(len(members)):
+        # only sets that are large enough can be near; they are sorted by size
+        other = np.arange(i + 1, np.searchsorted(n * percent, n[i] * 100, "right"))
+        other = other[(group[other] != group[i]) & ((side[other] != side[i]) | (not two))]
+        if not len(other):
+            continue
+        got = estimate(registers[i:i + 1], registers[other], n[i], n[other])
+        # sets of few values fill several registers with one of them, so less can be told apart
+        likely = got >= floor - 6 * np.sqrt(floor * (1 - floor) / np.minimum(REGISTERS, n[i]))
+        for j in other[likely][np.argsort(-got[likely], kind="stable")].tolist():
+            x, y = root(int(group[i])), root(int(group[j]))
+            if x == y:
                 continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            got = estimate(a, b, np.asarray(batch["na"]), np.asarray(batch["nb"]))
-            # sets of few values fill several registers with one of them, so less can be told apart
-            apart = np.minimum(REGISTERS, np.minimum(batch["na"], batch["nb"]))
-            keep = got >= floor - 6 * np.sqrt(floor * (1 - floor) / apart)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
-
-    side = lambda s: sketches.select(F.col("node").alias(s), F.col("sketch").alias(f"s{s}"), F.col("n").alias(f"n{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(made, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the sizes of intersection and union of the full sets."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, either = [], []
-            for x, y in zip(batch["sa"], batch["sb"]):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                both.append(n)
-                either.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays(
-                [batch["a"], batch["b"], pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
-
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"s{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(
-        made, "a long, b long, both long, either long")
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * percent:
+                parent[max(x, y)] = min(x, y)
+                found.append((members[i]["node"], members[j]["node"]))
+    return found
+
+
+def _blocked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks. ``dealt``: ``block``, ``node``, ``side``, ``label``; a node may be in many blocks."""
+
+    def made(block: pa.Table) -> pa.Table:
+        links = _links_of_block(block.to_pylist(), percent)
+        return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate("ab")})
+
+    return dealt.join(sets, "node").groupBy("block").applyInArrow(made, "a long, b long")
+
+
+def _links(active: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: links enough to connect all that is linked. ``active``: ``band``, ``node`` with bands of two and more."""
+    sizes = active.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    central = active.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("central"))
+    ranked = stored(active.join(central, "node"), "near-ranked")
+    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("central", "node")).alias("leader"))
+    star = stored(ranked.select("band", "node").join(leaders, "band").filter("node <> leader").select(
+        F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
+    nodes = members.select("node")
+    clusters = components(nodes, star).withColumnRenamed("label", "cluster")
+    placed = stored(clusters.join(members.select("node", (F.col("n") * 8 + 1024).alias("bytes")), "node").join(central, "node"), "near-clusters")
+    whole = stored(placed.groupBy("cluster").agg(
+        F.max_by("node", F.struct("central", "node")).alias("centre"), F.ceil(F.sum("bytes") / BLOCK).alias("blocks")), "near-whole")
+
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.greatest(n, F.lit(1)))
+    own = placed.join(whole, "cluster").select("cluster", "node", part("node", F.col("blocks")).alias("part"))
+    centres = whole.select("cluster", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    first = own.union(centres).distinct().select(F.xxhash64("cluster", "part").alias("block"), "node", F.lit(0).alias("side"), F.col("node").alias("label"))
+    links = stored(_blocked(first, sets, percent), "near-links")
+
+    large = whole.filter("blocks > 1").select("cluster")
+    if large.isEmpty():
+        return links
+    # components of large clusters: a large one has blocks of its own, small ones share blocks
+    open_nodes = placed.join(large, "cluster", "left_semi")
+    labels = stored(open_nodes.join(components(open_nodes.select("node"), links.join(open_nodes.select(F.col("node").alias("a")), "a", "left_semi")), "node"),
+                    "near-labels")
+    sizes = labels.groupBy("cluster", "label").agg(F.sum("bytes").alias("bytes"))
+    rest = sizes.filter(F.col("bytes") <= BLOCK / 2).groupBy("cluster").agg(F.ceil(F.sum("bytes") / BLOCK).alias("shared"))
+    kinds = stored(sizes.join(rest, "cluster", "left").select(
+        "cluster", "label", (F.col("bytes") > BLOCK / 2).alias("big"), F.ceil(F.col("bytes") / BLOCK).alias("parts"), "shared"), "near-kinds")
+    dealt = stored(labels.join(kinds, ["cluster", "label"]).select(
+        "cluster", "node", "label", F.when(F.col("big"), F.col("label")).alias("big"),
+        F.when(F.col("big"), part("node", F.col("parts"))).otherwise(part("label", F.col("shared"))).alias("part")), "near-dealt")
+    blocks = dealt.select("cluster", "big", "part").distinct()
+    one, two = (blocks.select("cluster", F.struct("big", "part").alias(s)) for s in ("x", "y"))
+    pairs = one.join(two, "cluster").filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.big") == F.col("y.big"), F.lit(False)))
+    sides = pairs.select("cluster", "x", "y", F.explode(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")),
+                                                                F.struct(F.col("y").alias("at"), F.lit(1).alias("side")))).alias("s"))
+    sides = sides.filter("s.side = 0 or x <> y").select(
+        F.xxhash64("cluster", "x", "y").alias("block"), F.col("cluster").alias("of"), F.col("s.at").alias("at"), F.col("s.side").alias("side"))
+    more = dealt.join(sides, (dealt.cluster == sides.of) & F.struct("big", "part").eqNullSafe(sides["at"])).select("block", "node", "side", "label")
+    return links.union(stored(_blocked(more, sets, percent), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -190,46 +247,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     texts = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")).join(
         members.select("key").distinct(), "key", "left_semi")
     sets = stored(texts.select("text").mapInArrow(sets_of, "node long, hashes binary")
-                  .groupBy("node").agg(F.first("hashes").alias("hashes"))
-                  .join(members.select("node"), "node", "left_semi"), "near-sets")
-
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    # beyond this distance from the leader nothing linked to the leader can be near
-    reach = 1 - 2 * (1 - percent / 100)
-    links = active.select(F.col("node").alias("a"), F.col("node").alias("b")).filter(F.lit(False))
-
-    leaders_each = 1            # nearly all of a band of copies is linked to one; what is left has many to link to
-    while not active.isEmpty():
-        size = stored(active.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "near-size")
-        active = stored(active.join(size, "band"), "near-active")
-        few = active.filter(F.col("members") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-        few = few.select("nodes", F.posexplode("nodes").alias("i", "a"))
-        few = few.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
-        large = active.filter(F.col("members") > SMALL).select("band", "node")
-        place = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        leaders = stored(large.withColumn("place", place).filter(F.col("place") <= leaders_each)
-                         .select("band", F.col("node").alias("leader")), "near-leaders")
-        star = large.join(leaders, "band").filter("node <> leader").select(
-            "band", "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-        pairs = few.union(star.select("a", "b")).distinct()
-        judged = stored(_verified(_hopeful(pairs, members, reach), sets), "near-judged")
-        links = links.union(judged.filter(linked).select("a", "b"))
-
-        against = stored(star.join(judged, ["a", "b"]).select(
-            "band", "leader", "node", linked.alias("linked"), (F.col("both") >= F.col("either") * reach).alias("close"),
-            (1 - F.col("both") / F.col("either")).alias("away")), "near-against")
-        close = against.filter("close and not linked").select("band", "leader", F.col("node").alias("a"), F.col("away").alias("away_a"))
-        if not close.isEmpty():
-            inner = against.filter("linked").select("band", "leader", F.col("node").alias("b"), F.col("away").alias("away_b"))
-            edge = close.join(inner, ["band", "leader"]).filter(F.col("away_b") >= F.col("away_a") - (1 - percent / 100) - 1e-9)
-            labels = components(members.select("node"), links, rounds=2)
-            edge = edge.select("a", "b").distinct().join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
-                labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b").filter("la <> lb").select("a", "b")
-            more = stored(_verified(_hopeful(edge, members, percent / 100), sets), "near-judged")
-            links = links.union(more.filter(linked).select("a", "b"))
-        settled = against.filter("linked").select("band", "node").union(leaders.select("band", F.col("leader").alias("node")))
-        active = stored(large.join(stored(settled.distinct(), "near-settled"), ["band", "node"], "left_anti"), "near-active")
-        leaders_each = LEADERS
+                  .groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
+
+    links = _links(active, members, sets, percent)
 
     labels = components(members.select("node"), links)
     groups = labels.join(members.select("node", "key"), "node").groupBy("label").agg(F.min("key").alias("component"))

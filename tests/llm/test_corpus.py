@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,9 +62,9 @@ def groups(rows):
     return sets, label
 
 
-@pytest.mark.parametrize("small", [8, near.SMALL])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(near, "SMALL", small)
+@pytest.mark.parametrize("block", [3_000, 30_000, near.BLOCK])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rows = copies()
     sets, label = groups(rows)
     got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -71,6 +72,38 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
         i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
+def near_copies(n, seed=8):
+    """Copies of one text with so many changed words that most pairs lie just below the threshold."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 4, 5, 6])):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [60_000, near.BLOCK])
+def test_near_copies_around_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = near_copies(250)
+    sets, label = groups(rows)
+    assert 5 < len(set(label.values())) < 200
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+
+
+def test_a_block_gives_few_links():
+    sets = {i: near.shingle_sets(pa.array([t]))[0] for i, t in near_copies(400, 9)}
+    members = [{"node": i, "label": i, "side": 0, "hashes": s.tobytes()} for i, s in sets.items()]
+    links = near._links_of_block(members, 85)
+    assert 50 < len(links) < len(members)
+    halves = [m | {"side": m["node"] % 2} for m in members]
+    assert all((a - b) % 2 for a, b in near._links_of_block(halves, 85))
+
+
 def test_bands_miss_few_pairs_at_the_threshold():
     assert near.band_width(85) == 8
     for percent in range(50, 100):
