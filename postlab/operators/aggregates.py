@@ -110,14 +110,14 @@ def map_center(df: DataFrame) -> DataFrame:
 
 
 def geocode_stats(df: DataFrame, column: str = "location_str") -> DataFrame:
-    """Distinct locations as written and as keys, distinct ones found, rows removed for want of coordinates."""
+    """Distinct locations as written and as keys, distinct keys found, rows removed for want of coordinates."""
     found = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     per_text = df.groupBy(F.col(column), location_key(column).alias("k")).agg(
         _rows().alias("n"), F.count_if(found).alias("hits"))
     return per_text.agg(
         _rows().alias("unique_locations"),
         F.count_distinct("k").alias("unique_keys"),
-        F.count_if(F.col("hits") > 0).alias("geocoded_locations"),
+        F.count_distinct(F.when(F.col("hits") > 0, F.col("k"))).alias("geocoded_locations"),
         F.coalesce(F.sum("hits"), F.lit(0)).alias("final_rows"),
         F.coalesce(F.sum(F.col("n") - F.col("hits")), F.lit(0)).alias("removed_rows"))
 

@@ -95,3 +95,35 @@ def percent_of_total(counts: DataFrame, count: str = "posts") -> DataFrame:
     """
     total = counts.agg(F.sum(count).alias("total")).scalar()
     return counts.withColumn("pct", F.col(count) / total * 100)
+
+
+def select_within_budget(hits: DataFrame, total: int, per_term: int | None = rules.FETCH_LIMIT, asked: int | None = rules.ASKED_LIMIT,
+                         k: int = rules.ACCEPTED_USER_CAP, user: str = "username", match: str = "match") -> DataFrame:
+    """Collect at most ``total`` posts, each term asking for no more than is still missing.
+
+    A term's first ``min(per_term, asked, missing)`` hits are fetched, then capped per user and de-duplicated against the terms
+    before it; what they add is no longer missing for the terms behind. Terms nobody needs any more fetch nothing.
+
+    Ranks per term are taken once. A pass selects with the sizes known so far and counts what each term adds; the fold over
+    terms finds the first whose size was wrong, and all before it are settled. As long as enough is missing every size is the
+    limit, so one pass settles those terms together. The driver sees one count per term.
+    """
+    bound = min(x for x in (per_term, asked, total) if x is not None)
+    order = Window.partitionBy("term_idx").orderBy("pos")
+    ranked = stored_table(hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= bound), "fetched")
+    terms = sorted(r.term_idx for r in ranked.select("term_idx").distinct().collect())
+    sizes = dict.fromkeys(terms, bound)
+    while True:
+        size = F.coalesce(*(F.when(F.col("term_idx") == t, F.lit(n)) for t, n in sizes.items()), F.lit(0))
+        fetched = ranked.where(F.col("_rank") <= size).drop("_rank")
+        kept = stored_table(dedupe_across_terms(cap_after_first_accept(fetched, k, user, match)), "within-budget")
+        added = {r.term_idx: r["count"] for r in kept.groupBy("term_idx").count().collect()}
+        missing, wrong = total, None
+        for i, t in enumerate(terms):
+            if sizes[t] != max(0, min(bound, missing)):
+                wrong = i
+                break
+            missing -= added.get(t, 0)
+        if wrong is None:
+            return kept
+        sizes.update(dict.fromkeys(terms[wrong:], max(0, min(bound, missing))))

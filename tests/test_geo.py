@@ -69,5 +69,5 @@ def test_geocode_keeps_misses(spark):
     joined = geocode_join(df, gaz)
     assert joined.where(F.col("latitude") == 1.0).count() == 2
     assert geocode_stats(joined).first().asDict() == {
-        "unique_locations": 2, "geocoded_locations": 1, "final_rows": 2, "removed_rows": 1}
+        "unique_locations": 3, "unique_keys": 2, "geocoded_locations": 1, "final_rows": 2, "removed_rows": 1}
     assert [r[0] for r in new_locations(df, gaz).collect()] == ["nowhere"]

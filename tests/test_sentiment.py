@@ -52,6 +52,19 @@ def test_lexicon_table_is_refused_not_cut(spark):
         lexicon.Lexicon.from_table(table, max_entries=10)
 
 
+@pytest.mark.parametrize("bound", [3, 10_000])
+def test_long_lexicon_is_joined(spark, bound):
+    rnd = random.Random(9)
+    vocab = ["good", "bad", "great", "so", "very", "hardly", "not", "never", "cat", "runs"]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 14))) for _ in range(150)] + [None, "", "Not, VERY good!"]
+    for valences in (dict(LEX.valences), dict(LEX.valences) | {"very": 1.5, "not": 0.0}):
+        table = spark.createDataFrame(list(valences.items()), "token string, valence double")
+        df = spark.createDataFrame(list(enumerate(texts)), "post_id int, text string")
+        got = {r.post_id: r.compound for r in lexicon.score_with_table(df, table, "post_id", max_entries=bound).collect()}
+        own = lexicon.Lexicon(valences)
+        assert [got[i] for i in range(len(texts))] == pytest.approx([restated(t, own) for t in texts], abs=1e-9)
+
+
 def test_analyze_sentiment(spark):
     df = spark.createDataFrame([(1, "http://x.y GOOD"), (2, "#!"), (3, None), (4, "ok @good"), (5, "bad")], "post_id int, text string")
     scorers = {"vader": registry.lexicon_scorer(LEX)}
@@ -93,7 +106,7 @@ def test_distinct_scoring_gives_every_copy_a_label(spark):
     assert dict(got) == {"negative": 10, "positive": 10, "neutral": 10}
 
 
-def test_failed_batch_gets_even_scores(spark):
+def test_failed_batch_is_retried_row_by_row(spark):
     def build():
         def model(texts):
             if "boom" in texts:
@@ -103,7 +116,8 @@ def test_failed_batch_gets_even_scores(spark):
 
     df = spark.createDataFrame([(i, "boom" if i == 0 else "x") for i in range(8)], "i int, text string").coalesce(1)
     rows = {r.i: r.s for r in df.select("i", batch.infer_batches("text", build, batch_size=4).alias("s")).collect()}
-    assert tuple(rows[1]) == ("Neutral", 0.33, 0.34, 0.33, "ValueError: bad")
+    assert tuple(rows[0]) == ("Neutral", 0.33, 0.34, 0.33, "ValueError: bad")
+    assert rows[1].sentiment == "Positive" and rows[1].score_error is None
     assert rows[5].sentiment == "Positive" and rows[5].score_error is None and rows[5].pos_score > 0.98
 
 

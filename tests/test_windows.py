@@ -54,6 +54,40 @@ def test_v3_cap_other_budget(spark):
     assert got == sorted(collector_v3(hits, k=4))
 
 
+def budgeted(hits, total, per_term, k=2):
+    """The collector's loop: each term fetches what is still missing, caps it and drops what it has."""
+    known, out = set(), []
+    for t in sorted({h[0] for h in hits}):
+        if len(out) >= total:
+            break
+        counts, batch = {}, []
+        for term, pos, post, user, match in sorted(h for h in hits if h[0] == t)[:min(per_term, total - len(out))]:
+            if user in known:
+                counts[user] = counts.get(user, 0) + 1
+                if counts[user] > k:
+                    continue
+            else:
+                counts[user] = 1
+            if match:
+                batch.append((term, pos, post, user, counts[user]))
+                known.add(user)
+        ids = {row[2] for row in out}
+        out += [row for row in batch if row[2] not in ids]
+    return out
+
+
+@pytest.mark.parametrize("seed,total,per_term", [(0, 30, 25), (1, 12, 40), (2, 70, 15), (3, 1, 40), (4, 10_000, 10), (5, 45, 40)])
+def test_budget_shrinks_from_term_to_term(spark, seed, total, per_term):
+    hits = random_hits(seed, terms=6, per_term=30)
+    kept = windows.select_within_budget(frame(spark, hits), total, per_term)
+    got = sorted((r.term_idx, r.pos, r.post_id, r.username, r.user_post_count) for r in kept.collect())
+    assert got == sorted(budgeted(hits, total, per_term)) and len(got) <= total
+
+
+def test_budget_of_no_hits(spark):
+    assert windows.select_within_budget(frame(spark, []), 10).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_v2_caps(spark, seed):
     hits = [(t, p, f"{t}-{p}", u, m) for t, p, _, u, m in random_hits(seed)]
