@@ -40,34 +40,35 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf: str, text_work: bool = False) -> DataFrame:
+    """A post per event: events take the documents in turn."""
     docs = documents(spark, sf) if text_work else table(spark, sf, "documents")
     docs = docs.select("doc_id", "text", "lang")
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return (
-        docs.join(events, docs.doc_id == events.event_id)
+        docs.join(events, docs.doc_id == events.event_id % table(spark, sf, "documents").count())
         .join(nation, F.col("user_id") % 25 == F.col("n_nationkey"))
         .select(
-            F.col("doc_id").alias("post_id"), F.col("text").alias("content"),
+            F.col("event_id").alias("post_id"), F.col("text").alias("content"),
             F.col("lang").alias("lang_gold"),
             F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("."), F.col("lang"))
             .alias("username"),
             F.col("ts").alias("created_at"), F.col("event_type").alias("search_term"),
             "user_id", "value",
-            F.concat(F.lit("Town "), (F.col("doc_id") % 7).cast("string"), F.lit(", "), F.col("n_name"))
+            F.concat(F.lit("Town "), (F.col("event_id") % 7).cast("string"), F.lit(", "), F.col("n_name"))
             .alias("location_raw"),
             F.when(F.col("event_type") == "purchase", "positive")
             .when(F.col("event_type") == "error", "negative").otherwise("neutral").alias("sentiment")))
 
 
 POSTS = """posts AS (
-  SELECT d.doc_id AS post_id, d.text AS content, d.lang AS lang_gold,
+  SELECT e.event_id AS post_id, d.text AS content, d.lang AS lang_gold,
          concat('user', CAST(e.user_id AS VARCHAR), '.', d.lang) AS username,
          e.ts AS created_at, e.event_type AS search_term, e.user_id, e.value,
-         concat('Town ', CAST(d.doc_id % 7 AS VARCHAR), ', ', n.n_name) AS location_raw,
+         concat('Town ', CAST(e.event_id % 7 AS VARCHAR), ', ', n.n_name) AS location_raw,
          CASE e.event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative'
               ELSE 'neutral' END AS sentiment
-  FROM documents d JOIN events e ON e.event_id = d.doc_id
+  FROM documents d JOIN events e ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
   JOIN nation n ON n.n_nationkey = e.user_id % 25)"""
 
 

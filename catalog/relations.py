@@ -358,6 +358,34 @@ def _(spark, sf):
     return windows.cap_after_first_accept(_narrow_hits(spark, sf), user="user_id")
 
 
+def _budget_sql(total: int, terms: int = 5) -> str:
+    """The collector's loop over terms, one step per term."""
+    steps = [fx.HITS, "n AS (SELECT *, row_number() OVER (PARTITION BY term_idx ORDER BY pos) AS place FROM hits)"]
+    for t in range(terms):
+        kept = " UNION ALL ".join(f"SELECT post_id FROM new{i}" for i in range(t)) or "SELECT post_id FROM hits WHERE false"
+        known = " UNION ALL ".join(f"SELECT user_id FROM ok{i}" for i in range(t)) or "SELECT user_id FROM hits WHERE false"
+        steps += [
+            f"left{t} AS MATERIALIZED (SELECT greatest(0, least(100, 120, {total} - (SELECT count(*) FROM ({kept})))) AS n)",
+            f"f{t} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rn FROM n "
+            f"WHERE term_idx = {t} AND place <= (SELECT n FROM left{t}))",
+            f"a{t} AS MATERIALIZED (SELECT user_id, min(rn) AS first FROM f{t} WHERE match GROUP BY 1)",
+            f"ok{t} AS MATERIALIZED (SELECT f{t}.*, CASE WHEN user_id IN ({known}) THEN rn ELSE rn - first + 1 END AS user_post_count "
+            f"FROM f{t} JOIN a{t} USING (user_id) WHERE match AND CASE WHEN user_id IN ({known}) THEN rn ELSE rn - first + 1 END <= {rules.ACCEPTED_USER_CAP})",
+            f"new{t} AS MATERIALIZED (SELECT * FROM ok{t} WHERE post_id NOT IN ({kept}))"]
+    every = " UNION ALL ".join(f"SELECT term_idx, pos, post_id, user_id, user_post_count FROM new{t}" for t in range(terms))
+    return f"WITH {', '.join(steps)} {every}"
+
+
+#: Posts a collection asks for: fewer than the terms would give, so that the later ones get what is missing.
+BUDGET = 300
+
+
+@query("select_within_budget", _budget_sql(BUDGET))
+def _(spark, sf):
+    kept = windows.select_within_budget(_narrow_hits(spark, sf), BUDGET, user="user_id")
+    return kept.select("term_idx", "pos", "post_id", "user_id", F.col("user_post_count").cast("long").alias("user_post_count"))
+
+
 # Copies of a post under several terms: every term whose name sorts at or after
 # the post's own term lists it again.
 _COPIES = fx.HITS + """, copies AS (
