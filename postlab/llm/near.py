@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                 ["node", "hashes"])
 
     texts = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")).join(
-        members.select("key").distinct(), "key", "left_semi")
+        members.select("key").distinct().hint("merge"), "key", "left_semi")      # no bound is known for the members
     sets = stored(texts.select("text").mapInArrow(sets_of, "node long, hashes binary")
                   .groupBy("node").agg(F.first("hashes").alias("hashes")), "near-sets")
 
