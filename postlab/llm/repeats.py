@@ -183,7 +183,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
                 ["gram", "size", "rid", "low", "bytes"])
 
-    own = needed.groupBy("rid").agg(F.collect_list(F.struct("gram", "size", "low", "high")).alias("own"))
+    # neither spans nor segments have a bound, so both joins are merge joins at every size
+    own = needed.groupBy("rid").agg(F.collect_list(F.struct("gram", "size", "low", "high")).alias("own")).hint("merge")
     segments = stored(kept_rows.select("rid", "text").join(own, "rid").mapInArrow(
         cut, "gram long, size long, rid long, low long, bytes binary"), "repeat-segments")
     edges = segments.filter(F.col("size") <= BUCKET).withColumn("bucket", F.pmod("gram", F.lit(buckets))).select(
@@ -203,7 +204,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
                 F.element_at(acc, -1).low.alias("low"), F.greatest(F.element_at(acc, -1).high, s.high).alias("high"))))).otherwise(
             F.concat(acc, F.array(s))))
-    out = kept_rows.join(stored(spans.select("rid", merged.alias("spans")), "repeat-spans"), "rid", "left")
+    out = kept_rows.join(stored(spans.select("rid", merged.alias("spans")), "repeat-spans").hint("merge"), "rid", "left")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     none = F.array().cast("array<struct<low:bigint,high:bigint>>")
     out = out.select("key", data.alias("data"), F.coalesce("spans", none).alias("spans"))
