@@ -17,6 +17,7 @@ from postlab.operators.evaluate import weighted_prf
 from postlab.session import work_path
 from postlab.sources import readers, sinks
 from postlab.streaming import posts as streams
+from postlab.streaming.known_users import stream_known_users
 
 TS = "yyyy-MM-dd HH:mm:ss"
 SQL_TS = "'%Y-%m-%d %H:%M:%S'"
@@ -191,6 +192,26 @@ def _(spark, sf):
     return _printable(out, "created_at")
 
 
+@query("stream_known_users", f"""WITH {fx.HITS}, a AS (SELECT post_id, username, term_idx, pos, match,
+    min(CASE WHEN match THEN {{'t': term_idx, 'p': pos}} END) OVER (PARTITION BY username) AS f FROM hits), b AS (
+  SELECT *, row_number() OVER (PARTITION BY username, term_idx ORDER BY pos) AS n FROM a
+  WHERE f IS NOT NULL AND {{'t': term_idx, 'p': pos}} >= f)
+  SELECT post_id, username, term_idx, pos, CAST(n AS INTEGER) AS user_post_count FROM b WHERE match AND n <= 2""")
+def _(spark, sf):
+    hits = fx.hits(spark, sf).select("post_id", "username", "term_idx", "pos", "match",
+                                      F.col("created_at").cast("timestamp").alias("created_at"))
+    folder = work_path(spark, "hit-polls")
+    hits.where("term_idx < 2").write.parquet(folder)        # the first poll
+    path, state = work_path(spark, "known-users"), work_path(spark, "known-users-state")
+    # the events' times do not follow the terms, so no hit may count as late
+    for late in (None, hits.where("term_idx >= 2")):
+        if late is not None:
+            late.write.mode("append").parquet(folder)
+        out = stream_known_users(streams.landing_stream(spark, folder, hits.schema), lateness="10000 days")
+        streams.start_to_parquet(out, path, state).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select("post_id", "username", "term_idx", "pos", "user_post_count")
+
+
 @query("stream_sentiment_counts", f"""WITH {fx.POSTS} SELECT
   strftime(date_trunc('hour', created_at), {SQL_TS}) AS window_start,
   strftime(date_trunc('hour', created_at) + INTERVAL 1 HOUR, {SQL_TS}) AS window_end,
