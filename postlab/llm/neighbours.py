@@ -5,16 +5,18 @@ a query gets 0 there. Gaussian directions project to ``dims`` dimensions; a true
 with ``dims`` degrees of freedom is the projected one. Projected neighbours are verified in ascending projected distance, a
 leaf of the kd-tree at a time, until the next leaf's projected distance r satisfies r > d_k * quantile, where d_k is the k-th best true
 squared distance so far and quantile that of the chi-square distribution at ``confidence``: then a nearer one is left
-out with a probability of at most 1 - ``confidence``.
+out with a probability of at most 1 - ``confidence``. Both comparisons allow for rounding (``SLACK`` of the longest squared length), so
+exact copies of a query (d_k = 0) are met.
 
-The top of the tree is fitted on a sample of at most ``SAMPLE`` vectors (a bounded parameter); every vector goes to its cell, and
-cells larger than ``CELL`` are split further by id, so copies of one vector don't fill a task. Each query
-gets a first d_k from the sample and is sent only to cells that its test can't rule out. Cells meet queries in bounded
-blocks: a task holds at most about ``CELL`` vectors and ``QUERIES`` queries, never all of either side.
+The top of the tree is fitted on a sample of at most ``SAMPLE`` vectors (a bounded parameter, and so a bound of the number of cells); every
+vector goes to its cell, and cells larger than ``CELL`` are split further by id, so copies of one vector don't fill a task. Each query
+gets a first d_k from the sample and is sent only to cells that its test can't rule out. The queries that reach a cell are counted and cut
+into chunks of about ``QUERIES``; a cell's vectors are copied once per such chunk, so a cell that no query reaches is not moved. Cells meet
+queries in bounded blocks: a task holds at most about ``CELL`` vectors and ``QUERIES`` queries, never all of either side.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another dimension than most take no part; a query is not
 its own neighbour (same id); ties go to the smaller id; fewer than k candidates are all returned; an empty table gives
-an empty table; null ids take no part; other columns are not kept.
+an empty table; ids are whole 64-bit numbers throughout; null ids take no part; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postlab.llm.store import stored
 
 SAMPLE, CELL, QUERIES, LEAF = 8192, 16384, 4096, 256
+SLACK = 1e-9
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -96,14 +99,14 @@ class Projection:
         return np.maximum(self.longest + (q * q).sum(axis=1).reshape(-1, *[1] * (scores.ndim - 1)) - 2 * scores, 0)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the k largest scores with their ids, ties to smaller ids, in no order."""
+def best(scores: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k largest scores with their places (small whole numbers), ties to smaller places, in no order."""
     if scores.shape[1] <= k:
-        return scores, ids
+        return scores, places
     least = np.partition(scores, -k, axis=1)[:, -k][:, None]
-    rank = np.where(scores > least, -np.inf, np.where(scores == least, ids, np.inf))
+    rank = np.where(scores > least, -1, np.where(scores == least, places, np.iinfo(np.int64).max))
     take = np.argpartition(rank, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(scores, take, 1), np.take_along_axis(ids, take, 1)
+    return np.take_along_axis(scores, take, 1), np.take_along_axis(places, take, 1)
 
 
 def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -117,7 +120,9 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 def search_block(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, p: Projection,
                  quantile: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for each query, verified leaf by leaf. ``limit``: a known d_k of each query."""
+    """Scores and ids of the k best of a block for each query, verified leaf by leaf (score -inf: none). ``limit``: a known d_k of each query."""
+    ascending = np.argsort(x_ids, kind="stable")       # so that a row's place orders like its id
+    x, x_ids = x[ascending], x_ids[ascending]
     points, asked = p.points(x), p.queries(q)
     leaves = kd_cells(points, max(1, len(x) // LEAF))
     low = np.array([points[r].min(axis=0) for r in leaves])
@@ -125,11 +130,11 @@ def search_block(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndar
     away = box_distance(asked, low, high)
     order = np.argsort(away, axis=1, kind="stable")
     scores = np.full((len(q), k), -np.inf)
-    ids = np.full((len(q), k), np.inf)
-    reach = limit.copy()
+    places = np.zeros((len(q), k), np.int64)
+    reach, slack = limit.copy(), SLACK * p.longest
     for turn in range(len(leaves)):
         leaf = order[:, turn]
-        going = np.flatnonzero(away[np.arange(len(q)), leaf] <= reach * quantile)
+        going = np.flatnonzero(away[np.arange(len(q)), leaf] <= reach * quantile + slack)
         if not len(going):
             break
         for at in np.unique(leaf[going]):
@@ -137,11 +142,11 @@ def search_block(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndar
             rows = leaves[at]
             got = q[mine] @ x[rows].T
             got[q_ids[mine, None] == x_ids[rows][None]] = -np.inf
-            names = np.broadcast_to(x_ids[rows].astype(np.float64), got.shape)
-            scores[mine], ids[mine] = best(np.hstack((scores[mine], got)), np.hstack((ids[mine], names)), k)
+            own = np.broadcast_to(rows.astype(np.int64), got.shape)
+            scores[mine], places[mine] = best(np.hstack((scores[mine], got)), np.hstack((places[mine], own)), k)
             kth = scores[mine].min(axis=1)
             reach[mine] = np.minimum(limit[mine], np.where(np.isfinite(kth), p.squared(q[mine], np.where(np.isfinite(kth), kth, 0)), np.inf))
-    return scores, ids
+    return scores, x_ids[places]
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", dims: int = 8,
@@ -182,11 +187,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     celled = stored(rows.mapInArrow(cell_of, "id long, v array<double>, asks boolean, cell int, at array<double>"), "vector-cells")
     boxes = celled.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), *(F.min(F.col("at")[i]).alias(f"low{i}") for i in range(dims)),
-        *(F.max(F.col("at")[i]).alias(f"high{i}") for i in range(dims))).orderBy("cell").collect()      # a row per cell
+        *(F.max(F.col("at")[i]).alias(f"high{i}") for i in range(dims))).orderBy("cell").collect()      # a row per cell, at most SAMPLE
     cell_ids = np.array([b.cell for b in boxes])
     low, high = (np.array([[b[f"{side}{i}"] for i in range(dims)] for b in boxes]) for side in ("low", "high"))
-    parts = {b.cell: max(1, -(-b.n // CELL)) for b in boxes}
-    chunks = max(1, -(-rows.filter("asks").count() // QUERIES))
 
     def routed(batches):
         for batch in batches:
@@ -198,18 +201,25 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
             limit = np.full(len(q), np.inf)
             if found.shape[1] > k:
                 limit = p.squared(q, np.partition(found, -k, axis=1)[:, -k])
-            near = box_distance(p.queries(q), low, high) <= (limit * quantile)[:, None]
+            near = box_distance(p.queries(q), low, high) <= (limit * quantile + SLACK * longest)[:, None]
             row, cell = np.nonzero(near)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cell_ids[cell].astype(np.int32)), batch["id"].take(pa.array(row)), batch["v"].take(pa.array(row)), pa.array(limit[row])],
                 ["cell", "id", "v", "limit"])
 
-    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int")
-    part_of = F.element_at(F.create_map(*(F.lit(x) for c, n in parts.items() for x in (int(c), int(n)))), F.col("cell"))
-    asked = celled.filter("asks").select("id", "v").mapInArrow(routed, "cell int, id long, v array<double>, limit double")
-    asked = asked.withColumn("chunk", turn).withColumn("part", F.explode(F.sequence(F.lit(0), part_of - 1)))
-    stock = celled.select("cell", "id", "v", F.pmod(F.xxhash64("id"), part_of).cast("int").alias("part")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = stored(celled.filter("asks").select("id", "v").mapInArrow(routed, "cell int, id long, v array<double>, limit double"), "asked")
+    # blocks of a cell: parts of its vectors x chunks of the queries that reach it
+    sizes = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts")).join(
+        asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks")), "cell"))        # at most SAMPLE rows
+
+    def share(of: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(of) - 1).cast("int")))
+
+    asked = asked.join(sizes, "cell").select("cell", "id", "v", "limit", share("chunks", 1).alias("chunk"), each("parts").alias("part"))
+    stock = celled.select("cell", "id", "v").join(sizes, "cell").select("cell", "id", "v", share("parts", 2).alias("part"), each("chunks").alias("chunk"))
 
     def searched(own: pa.Table, questions: pa.Table) -> pa.Table:
         if not own.num_rows or not questions.num_rows:
@@ -218,7 +228,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         scores, ids = search_block(_matrix(own["v"]), np.asarray(own["id"].combine_chunks()), _matrix(questions["v"]), q_ids,
                                    np.asarray(questions["limit"].combine_chunks()), p, quantile, k)
         row, place = np.nonzero(np.isfinite(scores))
-        return pa.table({"query_id": q_ids[row], "vec_id": ids[row, place].astype(np.int64), "score": scores[row, place]})
+        return pa.table({"query_id": q_ids[row], "vec_id": ids[row, place], "score": scores[row, place]})
 
     by = ["cell", "part", "chunk"]
     found = stock.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(searched, "query_id long, vec_id long, score double")

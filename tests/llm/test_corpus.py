@@ -243,6 +243,38 @@ def test_neighbours_recall_ties_and_odd_vectors(spark, monkeypatch):
     assert Counter(r.query_id for r in few) == {0: 2, 1: 2, 2: 2}
 
 
+def test_neighbours_copies_of_the_longest_and_large_ids(spark):
+    """Copies of the longest vector make d_k 0, and ids beyond 2^53 differ by less than a double can tell."""
+    x = np.array([[(7 * i + 3 * j) % 11 - 5 for j in range(8)] for i in range(60)], float)
+    for first in (16, 2 ** 60):
+        ids = [first + i for i in range(60)]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        got = neighbours.neighbours(df, F.lit(True), k=3, confidence=0.999).collect()
+        scores = x @ x.T
+        want = {(ids[q], rank, ids[i], scores[q, i]) for q in range(60) for rank, i in enumerate(
+            sorted((i for i in range(60) if i != q), key=lambda i: (-scores[q, i], i))[:3], 1)}
+        assert {tuple(r) for r in got} == want
+
+
+def test_neighbours_share_of_scored_vectors(monkeypatch):
+    """In clustered data the stopping test leaves most vectors unverified and still finds the nearest."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = centres[rng.integers(0, 60, 12000)] + rng.standard_normal((12000, 16)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p, asked = neighbours.Projection(16, 1.0, 8, 7), np.arange(0, 12000, 50)
+    scored = []
+    inner = neighbours.best
+    monkeypatch.setattr(neighbours, "best", lambda s, places, k: (scored.append((s.shape[1] - k) * len(s)), inner(s, places, k))[1])
+    got, ids = neighbours.search_block(x, np.arange(12000), x[asked], asked, np.full(len(asked), np.inf), p,
+                                       neighbours.chi_square_quantile(0.97, 8), 10)
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :10]
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, want)])
+    assert recall >= 0.95 and sum(scored) < 0.5 * exact.size, (recall, sum(scored) / exact.size)
+
+
 def test_chi_square():
     assert math.isclose(neighbours.chi_square_quantile(0.95, 8), 15.507, abs_tol=1e-3)
     assert math.isclose(neighbours.chi_square_quantile(0.5, 1), 0.4549, abs_tol=1e-3)
