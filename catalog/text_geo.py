@@ -194,6 +194,22 @@ def _(spark, sf):
     return fx.documents(spark, sf).select("doc_id", text.repair_mojibake(garbled).alias("text"))
 
 
+@query("repair_mojibake_runs", "SELECT doc_id, text || ' | ' || text || ' | ' || lang || ' | ' || text AS text FROM documents")
+def _(spark, sf):
+    def latin(value):
+        return F.decode(F.encode(value, "UTF-8"), "ISO-8859-1")
+
+    def windows(value):
+        low, high = "".join(map(chr, rules.CP1252_HIGH)), "".join(rules.CP1252_HIGH.values())
+        return F.translate(latin(value), low, high)
+
+    # a clean, a once garbled and a twice garbled part in each text
+    bar = F.lit(" | ")
+    mixed = F.concat("text", bar, latin("text"), bar, "lang", bar, windows(windows("text")))
+    docs = fx.documents(spark, sf).select("doc_id", mixed.alias("mixed"))
+    return docs.select("doc_id", text.repair_mojibake_runs("mixed").alias("text"))
+
+
 @query("scan_lenient_utf8", "SELECT doc_id, text || chr(65533) || '(' || lang AS text FROM documents")
 def _(spark, sf):
     from postlab.sources.readers import scan_lenient_utf8

@@ -182,6 +182,69 @@ def repair_mojibake(value) -> Column:
     return F.coalesce(F.when(suspect, let(F.translate(text, high, low), undo)), text)
 
 
+def _suspect() -> str:
+    """Pattern of a lead byte followed by a continuation byte, in either reading."""
+    return rf"[\x{{C2}}-\x{{F4}}][\x{{80}}-\x{{BF}}{''.join(rules.CP1252_HIGH.values())}]"
+
+
+def _garbled_run() -> str:
+    """Pattern of a run of characters that is plausibly UTF-8 read as Latin-1 or Windows-1252.
+
+    Only well-formed sequences match. Two sequences in a row, or a longer one whose continuation is not all
+    punctuation, are plausible anywhere. A lone two-byte one could be a capital letter before a closing mark ("CAFÉ»"), so
+    it needs letters around it that such a capital would not have. Every match starts with a lead byte, which is tested first.
+    """
+    read = rules.CP1252_HIGH
+
+    def tail(first: int, last: int) -> str:
+        high = "".join(ch for code, ch in read.items() if first <= code <= last)
+        return rf"[\x{{{first:X}}}-\x{{{last:X}}}{high}]"
+
+    any_, marks, after_capital = tail(0x80, 0xBF), f"[{rules.CLOSING_MARKS}]", f"[{rules.MARKS_AFTER_CAPITAL_A}]"
+    two = rf"[\x{{C2}}-\x{{DF}}]{any_}"
+    long = "|".join((
+        rf"\x{{E0}}{tail(0xA0, 0xBF)}{any_}", rf"[\x{{E1}}-\x{{EC}}\x{{EE}}\x{{EF}}]{any_}{any_}", rf"\x{{ED}}{tail(0x80, 0x9F)}{any_}",
+        rf"\x{{F0}}{tail(0x90, 0xBF)}{any_}{any_}", rf"[\x{{F1}}-\x{{F3}}]{any_}{any_}{any_}", rf"\x{{F4}}{tail(0x80, 0x8F)}{any_}{any_}"))
+    # the letters of Western Europe; those of the other two-byte alphabets; both without the sign × and the small ß
+    west, other = r"[\x{C2}\x{C3}]", r"[\x{C4}-\x{D6}\x{D8}-\x{DE}]"
+    alone = "|".join((
+        rf"(?<!\p{{Lu}}\p{{Lu}}){west}{any_}", rf"{west}(?!{after_capital}(?!\p{{L}})){any_}",
+        rf"(?<=\p{{Ll}}){other}{any_}", rf"[\x{{C4}}\x{{C5}}]{any_}(?=\p{{Ll}})"))
+    return rf"(?={_suspect()})(?:(?:{two}|{long})(?:{two}|{long})+|(?!.{marks}{{2}})(?:{long})|{alone})"
+
+
+def repair_mojibake_runs(value) -> Column:
+    """Undo UTF-8 that was decoded as Latin-1 or Windows-1252, in parts of a text and more than once.
+
+    Each garbled run is found and decoded by itself, so clean words around it (any letters) stay, and the two readings may be
+    mixed. Rounds go on until nothing is left: decoding at least halves a run, so the logarithm of the length is enough. Text
+    without a garbled run comes back unchanged after one test; null stays null.
+    """
+    high = "".join(rules.CP1252_HIGH.values())
+    low = "".join(chr(code) for code in rules.CP1252_HIGH)
+    run = _garbled_run()
+
+    def decoded(found: Column) -> Column:
+        data = F.encode(F.translate(found, high, low), "ISO-8859-1")
+        return F.coalesce(F.try_validate_utf8(data.cast("string")), found)
+
+    def repaired(text: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), decoded)
+        # a text has one gap more than runs
+        return F.array_join(F.flatten(F.zip_with(F.split(text, run, -1), runs, lambda gap, fixed: F.array(gap, fixed))), "")
+
+    def state(text: Column, going: bool) -> Column:
+        return F.struct(text.alias("text"), F.lit(going).alias("going"))
+
+    def again(acc: Column, _round: Column) -> Column:
+        now = acc["text"]
+        return F.when(acc["going"] & now.rlike(run), state(repaired(now), True)).otherwise(state(now, False))
+
+    text = _col(value)
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.length(text) + 1)).cast("int") + 1)
+    return F.when(text.rlike(_suspect()), F.aggregate(rounds, state(text, True), again, lambda acc: acc["text"])).otherwise(text)
+
+
 def valid_utf8(value) -> Column:
     """Replace invalid byte sequences by U+FFFD."""
     return F.make_valid_utf8(_col(value).cast("string"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from postlab.functions.geo import country_from_location
-from postlab.functions.text import na_to_null, repair_mojibake
+from postlab.functions.text import na_to_null, repair_mojibake_runs
 from postlab.operators.aggregates import sentiment_by_location, sentiment_distribution, top_words
 from postlab.operators.filters import country_counts, drop_blank, label_equals, valid_timestamp
 from postlab.operators.frame import union_batches
@@ -22,7 +22,7 @@ def merge_batches(frames: Sequence[DataFrame]) -> DataFrame:
 
 def repair_and_score(posts: DataFrame, scorer: Scorer, text: str = "content",
                      key: str = "post_id") -> DataFrame:
-    return score_posts(posts.withColumn(text, repair_mojibake(text)), scorer, text, key)
+    return score_posts(posts.withColumn(text, repair_mojibake_runs(text)), scorer, text, key)
 
 
 def to_countries(posts: DataFrame, only_located: bool = False) -> DataFrame:

@@ -63,6 +63,40 @@ def test_repair_mojibake(one):
     assert one(text.repair_mojibake, good) == good, "clean text stays, and nothing fails"
 
 
+def _garble(value, reading):
+    """UTF-8 bytes read one by one; bytes that Windows-1252 leaves undefined are control characters."""
+    table = rules.CP1252_HIGH if reading == "windows" else {}
+    return "".join(table.get(byte, chr(byte)) for byte in value.encode())
+
+
+CLEAN = ["CAFÉ» et «\xa0à\xa0»", "café”… fin", "groß“ und Fuß…", "É… talvez", "«IRMÃ»", "ÄÖÜ…", "naïve ©", "5 × 3", "Â", "ÃÃ", "", None, "100 € – “ja”", "日本語"]
+
+
+def test_repair_mojibake_runs_keeps_clean_text(one):
+    assert one(text.repair_mojibake_runs, CLEAN) == CLEAN
+
+
+def test_repair_mojibake_runs_hand_cases(one):
+    cases = {"clean é, then donâ€™t and cafÃ©": "clean é, then don’t and café", "ÃƒÂ©tÃƒÂ©": "été", "Ã¢â‚¬â„¢": "’",
+             "SEÃ‘OR, CAFÃ‰ and über": "SEÑOR, CAFÉ and über", "wÅ‚aÅ›nie": "właśnie", "Ð¿Ñ€Ð¸Ð²ÐµÑ‚ привет": "привет привет"}
+    assert one(text.repair_mojibake_runs, list(cases)) == list(cases.values())
+
+
+def test_repair_mojibake_runs_restores_mixed_parts(one):
+    rnd = random.Random(3)
+    words = ["señor", "café", "über", "Größe", "naïve", "plain", "“quoted”", "don’t", "日本語", "안녕하세요", "Élan", "мир", "10 €", "Là", "Né", "ÉCOLE", "ARÑ!", "właśnie", "😀"]
+    good, bad = [], []
+    for _ in range(300):
+        parts = [rnd.choice(words) for _ in range(rnd.randint(1, 12))]
+        good.append(" ".join(parts))
+        for i, part in enumerate(parts):
+            for _ in range(rnd.choice((0, 0, 1, 1, 2, 3))):
+                parts[i] = _garble(parts[i], rnd.choice(("latin", "windows")))
+        bad.append(" ".join(parts))
+    got = one(text.repair_mojibake_runs, bad)
+    assert [(b, g) for b, g, w in zip(bad, got, good) if g != w] == []
+
+
 def test_bytes(one, spark):
     raw = ["é".encode(), "é".encode("latin-1"), b"\xc3\x28", b"ok"]
     assert one(text.decode_with_fallback, raw, "binary") == ["é", "é", "Ã(", "ok"]
