@@ -13,7 +13,7 @@ from postlab.functions.labels import softmax_label
 from postlab.operators.aggregates import sentiment_by_location
 from postlab.operators.filters import valid_timestamp
 from postlab.operators.sampling import head_tail_split
-from postlab.sentiment import batch, lexicon, naive_bayes, registry
+from postlab.sentiment import batch, lexicon, naive_bayes, registry, rule_layer
 from postlab.session import work_path
 
 
@@ -55,6 +55,68 @@ def _(spark, sf):
     return scored.withColumn("label", lexicon.label_of(F.col("compound")))
 
 
+# the corpus lacks the words of some rules: frequent words stand in for them, in every second or third document
+_IDIOMS = {"of the": 1.4, "is the": -0.9, "de la": -1.7, "in der": 0.6, "that it was": 2.2}
+_RULED = lexicon.Lexicon(fx.LEXICON.valences, fx.LEXICON.boosters, (*fx.LEXICON.negations, "never", "without"))
+_RULED_TEXT = """CASE WHEN doc_id % 2 = 0 THEN replace(replace(said, ' is ', ' IS '), ' the ', ' THE ') ELSE said END
+  || CASE doc_id % 4 WHEN 0 THEN '!!' WHEN 1 THEN ' ???' ELSE '' END"""
+_SAID = """CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(replace(replace(replace(replace(text, ' and ', ' but '),
+  ' for ', ' never '), ' from ', ' so '), ' on ', ' least '), ' are ', ' without doubt ') END"""
+
+
+def _rule_layer_sql() -> str:
+    neg = "('" + "', '".join(_RULED.negations) + "')"
+    line = "' ' || array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}_'']+'), '  ') || ' '"
+    for phrase in sorted((p.split() for p in _IDIOMS), key=lambda ws: (-len(ws), ws)):
+        found = "(?i) " + "  ".join(f"({w})" for w in phrase) + " "
+        put = " " + "-".join(f"\\{i}" for i in range(1, len(phrase) + 1)) + " "
+        line = f"regexp_replace({line}, '{found}', '{put}', 'g')"
+    steps, value = [], "v0"
+    for d, damping in enumerate(rules.VADER_DAMPING, start=1):
+        near = [f"p{e}" for e in range(1, d)]
+        so = " OR ".join(f"coalesce({p} IN ('so', 'this'), false)" for p in near) or "false"
+        doubt = " OR ".join(f"coalesce({p} = 'doubt', false)" for p in near) or "false"
+        steps.append(f"""a{d} AS (SELECT t.*, {value} + CASE WHEN b IS NULL OR lx.token IS NOT NULL THEN 0 ELSE sign({value}) * {damping}
+    * (b + CASE WHEN t.c{d} THEN sign(b) * {rules.VADER_CAPITALS} ELSE 0 END) END AS u{d},
+    lx.token IS NULL AND p{d} IN {neg} AS n{d}
+  FROM {'hit' if d == 1 else f'v{d - 1}'} t LEFT JOIN boost ON boost.token = p{d} LEFT JOIN lx ON lx.token = p{d}),
+v{d} AS (SELECT *, u{d} * CASE WHEN n{d} IS NOT TRUE THEN 1 WHEN p{d} = 'never' AND ({so}) THEN {rules.VADER_NEVER_SO}
+    WHEN p{d} = 'without' AND ({doubt}) THEN 1 ELSE {rules.VADER_NEGATION} END AS w{d} FROM a{d})""")
+        value = f"w{d}"
+    return f"""WITH given AS (SELECT doc_id, {_RULED_TEXT} AS text FROM (SELECT doc_id, {_SAID} AS said FROM documents)),
+lx(token, v) AS (VALUES {_values({**_RULED.valences, **rule_layer.joined_idioms(_IDIOMS)})}),
+boost(token, b) AS (VALUES {_values(_RULED.boosters)}),
+tok AS (SELECT doc_id, text, string_split_regex(trim({line}), ' +') AS ws FROM given),
+flat AS (SELECT doc_id, unnest(ws) AS o, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM tok),
+loud AS (SELECT *, lower(o) AS w, o = upper(o) AND o <> lower(o) AS cap FROM flat),
+mixed AS (SELECT *, cap AND count(*) FILTER (cap) OVER (PARTITION BY doc_id) < n AS c,
+  coalesce(min(i) FILTER (w = 'but') OVER (PARTITION BY doc_id), 0) AS but FROM loud),
+ctx AS (SELECT *, {', '.join(f'lag(w, {d}) OVER o AS p{d}, coalesce(lag(c, {d}) OVER o, false) AS c{d}' for d in (1, 2, 3))}
+        FROM mixed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT ctx.*, v + CASE WHEN c THEN sign(v) * {rules.VADER_CAPITALS} ELSE 0 END AS v0 FROM ctx JOIN lx ON lx.token = ctx.w),
+{', '.join(steps)},
+sums AS (SELECT doc_id, sum(w3
+    * CASE WHEN p1 = 'least' AND coalesce(p2 NOT IN ('at', 'very'), true) THEN {rules.VADER_NEGATION} ELSE 1 END
+    * CASE WHEN but = 0 OR i = but THEN 1 WHEN i < but THEN {rules.VADER_BEFORE_BUT} ELSE {rules.VADER_AFTER_BUT} END) AS s FROM v3 GROUP BY 1),
+marks AS (SELECT doc_id, coalesce(s, 0) AS s, length(text) - length(replace(text, '!', '')) AS e, length(text) - length(replace(text, '?', '')) AS q
+          FROM tok LEFT JOIN sums USING (doc_id)),
+total AS (SELECT doc_id, s + sign(s) * (least(e, 4) * {rules.VADER_EXCLAMATION}
+          + CASE WHEN q < 2 THEN 0 WHEN q < 4 THEN q * {rules.VADER_QUESTION} ELSE {rules.VADER_QUESTIONS} END)::DOUBLE AS s FROM marks),
+comp AS (SELECT doc_id, round(s / sqrt(s * s + {rules.VADER_ALPHA}), 4) AS compound FROM total)
+SELECT doc_id, compound, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM comp"""
+
+
+def _ruled_texts(spark, sf):
+    said = fx.documents(spark, sf).select("doc_id", F.expr(_SAID).alias("said"))
+    return said.select("doc_id", F.expr(_RULED_TEXT).alias("text"))
+
+
+@query("lexicon_rule_layer", _rule_layer_sql())
+def _(spark, sf):
+    scored = _ruled_texts(spark, sf).select("doc_id", rule_layer.rule_score("text", _RULED, _IDIOMS).alias("compound"))
+    return scored.withColumn("label", lexicon.label_of(F.col("compound")))
+
+
 _CLEANED = (f"{fx.POSTS}, cleaned AS (SELECT post_id, "
             f"regexp_replace({_CLEAN.replace('(t,', '(content,')}, '^$', '') AS c FROM posts)")
 _ANALYZED = f"""WITH {_CLEANED}, {lexicon_sql('cleaned', 'post_id', 'c')}

@@ -157,11 +157,11 @@ def rule_score_with_table(df: DataFrame, table: DataFrame, key: str, text: str =
     valued = {row.token for row in words.where(F.col("token").isin(asked)).select("token").distinct().collect()}
     boosters, negations = _acting(own, valued)
     phrases = joined_idioms(idioms)
-    records = df.select(F.col(key).alias("_key"), F.explode(_places(_col(text), idioms)).alias("x")).select("_key", "x.*")
-    # idioms stay a list, as they are found in the row; only other words look into the table
-    is_phrase = F.col("token").isin(*phrases) if phrases else F.lit(False)
-    single = records.where(~is_phrase).join(words.where("valence <> 0"), "token")
-    joined = single.unionByName(records.where(is_phrase).withColumn("valence", _value_of(phrases, F.col("token"))))
-    sums = joined.groupBy("_key").agg(F.sum(_adjusted(F.col("valence"), F.col, boosters, negations, valued)).alias("_sum"))
+    # an outer explode: the inner one would have the optimizer build all records once more to test for empty texts
+    records = df.select(F.col(key).alias("_key"), F.explode_outer(_places(_col(text), idioms)).alias("x")).select("_key", "x.*")
+    listed = df.sparkSession.createDataFrame(list(phrases.items()), "token string, valence double")
+    known = words.where(~F.col("token").isin(*phrases)).unionByName(listed) if phrases else words
+    found = records.join(known.where("valence <> 0"), "token")
+    sums = found.groupBy("_key").agg(F.sum(_adjusted(F.col("valence"), F.col, boosters, negations, valued)).alias("_sum"))
     scored = df.join(sums, df[key] == sums["_key"], "left")
     return scored.withColumn("compound", _compound(F.coalesce("_sum", F.lit(0.0)), _col(text))).select(*df.columns, "compound")
