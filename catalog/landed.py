@@ -35,14 +35,14 @@ def _post_rows(spark, sf):
 @query("scan_posts_csv", _ROUND_TRIP_SQL)
 def _(spark, sf):
     path = work_path(spark, "posts-csv")
-    sinks.sink_posts_csv(_post_rows(spark, sf), path)
+    sinks.sink_posts_csv(_post_rows(spark, sf), path, compress=True)
     return readers.scan_posts_csv(spark, path, _ROUND_TRIP)
 
 
 @query("sink_posts_csv", _ROUND_TRIP_SQL.replace("username FROM", "username, 'b1' AS batch_id FROM"))
 def _(spark, sf):
     path = work_path(spark, "posts-batch")
-    sinks.sink_posts_csv(_post_rows(spark, sf), path, batch_id="b1")
+    sinks.sink_posts_csv(_post_rows(spark, sf), path, batch_id="b1", compress=True)
     schema = T.StructType([*_ROUND_TRIP.fields, T.StructField("batch_id", T.StringType())])
     return readers.scan_single_csv(spark, path, schema)
 
@@ -51,7 +51,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = work_path(spark, "posts-bom")
     df = fx.posts(spark, sf).select("post_id", "username", "content")
-    sinks.sink_csv_bom(df, path)
+    sinks.sink_csv_bom(df, path, compress=True)
     return readers.scan_single_csv(spark, path, df.schema)
 
 
@@ -96,7 +96,7 @@ def _(spark, sf):
                  F.when(F.col("value") >= 5, F.col("username")).alias("display_name")).alias("author"),
         F.struct(F.col("content").alias("text"), F.date_format("created_at", TS).alias("created_at")).alias("record"),
         F.when(~(F.col("value") > 20), F.col("user_id")).alias("like_count"),
-        F.col("user_id").alias("repost_count"), "search_term", "term_idx", "pos").write.json(path)
+        F.col("user_id").alias("repost_count"), "search_term", "term_idx", "pos").write.options(**sinks.COMPRESSED).json(path)
     return readers.ingest_search_hits(readers.read_search_hits(spark, path)).drop("collected_at")
 
 
@@ -110,7 +110,7 @@ def _(spark, sf):
   FROM tweets t LEFT JOIN places p ON p.id = t.place_id WHERE lon IS NOT NULL OR has_box""")
 def _(spark, sf):
     path = work_path(spark, "tweets-json")
-    fx.tweets(spark, sf).write.json(path)
+    fx.tweets(spark, sf).write.options(**sinks.COMPRESSED).json(path)
     return readers.ingest_tweets(readers.read_tweets(spark, path), fx.places(spark, sf))
 
 

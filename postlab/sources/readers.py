@@ -45,13 +45,13 @@ def scan_single_csv(spark: SparkSession, path: str | Sequence[str],
 def scan_posts_csv(spark: SparkSession, folder: str | Sequence[str],
                    schema: T.StructType = schemas.POSTS,
                    exclude: Sequence[str] = ("posts with location",)) -> DataFrame:
-    """All ``*.csv`` files of a folder except result files, recognised by name.
+    """All ``*.csv`` and ``*.csv.gz`` files of a folder except result files, recognised by name.
 
     The name test uses file metadata, so excluded files are pruned from the
     listing and never opened; unreadable files are skipped.
     """
     df = (spark.read.options(**_CSV).option("ignoreCorruptFiles", "true")
-          .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+          .option("pathGlobFilter", "{*.csv,*.csv.gz}").option("recursiveFileLookup", "true")
           .schema(schema).csv(folder))
     # names in the metadata are percent-encoded
     name = F.replace(F.lower(F.col("_metadata.file_name")), F.lit("%20"), F.lit(" "))

@@ -21,26 +21,32 @@ _CSV_OUT = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+#: Texts land many times larger than the tables they come from; the fastest level already takes most of that off.
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
+def _csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), compress: bool = False) -> None:
     writer = df.write.mode("overwrite").options(**_CSV_OUT)
+    if compress:
+        writer = writer.options(**COMPRESSED)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
 
 
-def sink_posts_csv(posts: DataFrame, path: str, batch_id: str | None = None) -> None:
-    """Required columns first; a batch id becomes a partition instead of a file name."""
+def sink_posts_csv(posts: DataFrame, path: str, batch_id: str | None = None, compress: bool = False) -> None:
+    """Required columns first; a batch id becomes a partition instead of a file name. The readers take files with ``compress``, too."""
     out = reorder_required_first(require_columns(posts))
     if batch_id is None:
-        _csv(out, path)
+        _csv(out, path, compress=compress)
     else:
-        _csv(out.withColumn("batch_id", F.lit(batch_id)), path, ["batch_id"])
+        _csv(out.withColumn("batch_id", F.lit(batch_id)), path, ["batch_id"], compress)
 
 
-def sink_csv_bom(df: DataFrame, path: str) -> None:
+def sink_csv_bom(df: DataFrame, path: str, compress: bool = False) -> None:
     """CSV for spreadsheets: the byte-order mark leads the first header of each file."""
     first, *rest = df.columns
-    _csv(df.select(F.col(first).alias("\ufeff" + first), *rest), path)
+    _csv(df.select(F.col(first).alias("\ufeff" + first), *rest), path, compress=compress)
 
 
 def checkpoint_stage(df: DataFrame, path: str) -> DataFrame:
