@@ -52,40 +52,48 @@ def stream_dedupe_posts(posts: DataFrame, event_time: str = "created_at", key: s
 
 
 def stream_user_cap(posts: DataFrame, k: int = rules.ACCEPTED_USER_CAP, user: str = "username",
-                    order: tuple[str, str] = ("created_at", "post_id")) -> DataFrame:
+                    order: tuple[str, str] = ("created_at", "post_id"), buckets: int = 1024) -> DataFrame:
     """At most ``k`` posts per user over all polls; earlier polls go first and
     within one poll the order columns decide.
 
-    The state of a user is one counter. Before the shuffle each Arrow batch
-    already drops a user's surplus rows, so a heavy account sends at most k rows
-    per batch to its task, and the task itself keeps only k rows at a time.
+    Users meet in ``buckets`` groups by hash, since a call of Python for each user costs far more than the user's few rows. The
+    state of a bucket is one counter per user of it: choose more buckets for more than some ten million users, and keep
+    their number while a stream lives. Before the shuffle each Arrow batch already drops a user's surplus rows, so a heavy account
+    sends at most k rows per batch to its task, and the task itself keeps only k rows of a user at a time.
     """
     columns = posts.columns
     order = list(order)
 
-    def first_k(pdf, n):
-        return pdf.sort_values(order, kind="stable").groupby(user, sort=False, dropna=False).head(n)
-
     def combine(batches):
         for pdf in batches:
-            yield first_k(pdf, k)
+            yield pdf.sort_values(order, kind="stable").groupby(user, sort=False, dropna=False).head(k)
+
+    def names(pdf):
+        return [None if name != name else name for name in pdf[user].tolist()]
 
     def spend(key, batches, state):
+        import numpy as np
         import pandas as pd
 
-        spent = state.get[0] if state.exists else 0
+        spent = dict(zip(*state.get)) if state.exists else {}
         best = None
-        if spent < k:
-            for pdf in batches:
-                both = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
-                best = first_k(both, k - spent)
+        for pdf in batches:
+            both = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
+            left = k - np.array([spent.get(name, 0) for name in names(both)], np.int64)
+            both = both[left > 0].assign(_left=left[left > 0]).sort_values(order, kind="stable")
+            place = both.groupby(user, sort=False, dropna=False).cumcount()
+            best = both[place < both["_left"]][columns]
         if best is not None and len(best):
-            state.update((spent + len(best),))
-            yield best[columns]
+            for name in names(best):
+                spent[name] = spent.get(name, 0) + 1
+            state.update((list(spent), list(spent.values())))
+            yield best
 
+    kind = dict(posts.dtypes)[user]
     return (posts.mapInPandas(combine, posts.schema)
-            .groupBy(user)
-            .applyInPandasWithState(spend, posts.schema, "spent int", "append",
+            .withColumn("_bucket", F.pmod(F.xxhash64(user), F.lit(buckets)))
+            .groupBy("_bucket")
+            .applyInPandasWithState(spend, posts.schema, f"users array<{kind}>, spent array<int>", "append",
                                     GroupStateTimeout.NoTimeout))
 
 

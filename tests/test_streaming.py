@@ -81,3 +81,21 @@ def test_hourly_counts_equal_batch(spark, poll):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
     sliding = streams.sentiment_counts(spark.createDataFrame(rows(0, 50), SCHEMA), slide="30 minutes")
     assert sliding.agg(F.sum("posts")).first()[0] == 100
+
+
+def test_user_cap_calls_python_per_bucket_not_per_user(spark, poll):
+    """Nameless posts are a user of their own, and users of a bucket have counters of their own in it."""
+    def build(s):
+        return streams.stream_user_cap(s, k=2, buckets=2)
+
+    def named(first, last):
+        return [(i, None if i % 5 == 0 else u, label, at) for i, u, label, at in rows(first, last, users=40)]
+
+    poll(named(0, 60), build)
+    out = poll(list(reversed(named(60, 400))), build)
+    want, seen = set(), {}
+    for i, u, *_ in named(0, 400):
+        seen[u] = seen.get(u, 0) + 1
+        if seen[u] <= 2:
+            want.add((i, u))
+    assert {(r.post_id, r.username) for r in out.collect()} == want and out.count() == len(want)
