@@ -99,11 +99,17 @@ def clean_text(value) -> Column:
     ``#`` needs no step of its own: the punctuation class covers it.
     """
     text = _col(value)
+
+    def where(found: Column, value: Column, change: Callable[[Column], Column]) -> Column:
+        # most texts lack most of what is dropped: a search for fixed characters spares them the pattern
+        return F.when(found, change(value)).otherwise(value)
+
     # the separators become spaces up front, so that plain \s (faster than a
     # class with extra members) covers all whitespace below
-    out = F.when(text.rlike(r"[\x{1c}-\x{1f}]"), F.translate(text, "\x1c\x1d\x1e\x1f", "    "))
-    out = F.regexp_replace(out.otherwise(text), r"(?U)http\S+", "")
-    out = F.regexp_replace(out, f"@[{WORD_CHARS}]+", "")
+    separators = "\x1c\x1d\x1e\x1f"
+    out = where(_any_of([F.contains(text, F.lit(c)) for c in separators]), text, lambda t: F.translate(t, separators, "    "))
+    out = let(out, lambda t: where(F.contains(t, F.lit("http")), t, lambda t: F.regexp_replace(t, r"(?U)http\S+", "")))
+    out = let(out, lambda t: where(F.contains(t, F.lit("@")), t, lambda t: F.regexp_replace(t, f"@[{WORD_CHARS}]+", "")))
     out = F.regexp_replace(out, rf"(?U)[^{WORD_CHARS}\s]", "")
     out = F.regexp_replace(out, r"(?U)\s+", " ")
     return F.trim(out)      # only plain spaces are left

@@ -41,16 +41,21 @@ class Lexicon:
 
 
 def _value_of(table: Mapping[str, float], word: Column) -> Column:
-    """Value of a word, 0 when absent: one hash-set test per distinct value."""
+    """Value of a word, 0 when absent: set tests halve the distinct values until one is left."""
     words_of = defaultdict(list)
     for token, value in table.items():
         if value:
             words_of[float(value)].append(token)
-    value = F.lit(0.0)
-    for number, words in sorted(words_of.items(), reverse=True):
-        value = F.when(word.isin(*words), F.lit(number)).otherwise(value)
+
+    def among(groups: list[tuple[float, list[str]]]) -> Column:
+        if len(groups) == 1:
+            return F.lit(groups[0][0])
+        half = len(groups) // 2
+        first = [word_ for _, words in groups[:half] for word_ in words]
+        return F.when(word.isin(*first), among(groups[:half])).otherwise(among(groups[half:]))
+
     known = [word_ for group in words_of.values() for word_ in group]
-    return F.when(word.isin(*known), value).otherwise(F.lit(0.0)) if known else F.lit(0.0)
+    return F.when(word.isin(*known), among(sorted(words_of.items()))).otherwise(F.lit(0.0)) if known else F.lit(0.0)
 
 
 def compound_score(text, lexicon: Lexicon) -> Column:
@@ -66,17 +71,15 @@ def compound_score(text, lexicon: Lexicon) -> Column:
     acting = sorted({*boosters, *negations})
 
     def adjusted(words: Column, i: Column) -> Column:
-        def look_back(value: Column, distance: Column) -> Column:
-            def apply(word: Column) -> Column:
-                damping = F.get(F.array(*[F.lit(d) for d in rules.VADER_DAMPING]), distance - 1)
-                boost = _value_of(boosters, word) * damping
-                boosted = value + F.when(value < 0, -boost).otherwise(boost)
-                turned = F.when(word.isin(*negations), boosted * rules.VADER_NEGATION).otherwise(boosted)
-                return F.when(word.isin(*acting), turned).otherwise(value)
-
-            return let(F.get(words, i - distance), apply)
-
-        steps = F.array(*[F.lit(d) for d in range(1, len(rules.VADER_DAMPING) + 1)])
+        def look_back(value: Column, step: Column) -> Column:
+            word = F.get(words, i - step["distance"])
+            boost = _value_of(boosters, word) * step["damping"]
+            boosted = value + F.when(value < 0, -boost).otherwise(boost)
+            turned = F.when(word.isin(*negations), boosted * rules.VADER_NEGATION).otherwise(boosted)
+            return F.when(word.isin(*acting), turned).otherwise(value)
+
+        steps = F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(damping).alias("damping"))
+                          for d, damping in enumerate(rules.VADER_DAMPING, start=1)])
         return F.aggregate(steps, _value_of(lexicon.valences, F.get(words, i)), look_back)
 
     def total(words: Column) -> Column:

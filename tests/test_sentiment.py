@@ -200,3 +200,13 @@ def test_class_without_training_rows_cannot_win(spark):
     model = naive_bayes.train_naive_bayes(df, "row_id", "text", "sentiment", [])
     got = dict(naive_bayes.predict_naive_bayes(df, model, "row_id", "text").select("row_id", "prediction").collect())
     assert got == {1: "positive", 2: "negative"}
+
+
+def test_the_value_of_a_word_takes_few_set_tests(one):
+    table = {f"w{i}": i / 8 - 4 for i in range(65)}           # 64 values other than 0
+    assert one(lambda c: lexicon._value_of(table, c), [*table, "other", None]) == [*table.values(), 0.0, 0.0]
+    said, depth, deepest = str(lexicon._value_of(table, F.col("w"))), 0, 0
+    for part in re.findall(r"CASE WHEN|\bEND\b", said):
+        depth += 1 if part == "CASE WHEN" else -1
+        deepest = max(deepest, depth)
+    assert deepest == 7                                         # known or not, then six halvings

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from postlab.functions import text
 from postlab.operators.terms import skip_similar_terms, term_array
 from postlab import rules
@@ -131,3 +133,10 @@ def test_skip_similar_terms(spark):
     cases = [[rnd.choice(pool) for _ in range(rnd.randint(1, 8))] for _ in range(40)] + [["OpenAI", "AI", "open ai tools", "GPT", "AI assistant", "deep learning", "deep learning"]]
     for terms in cases:
         assert spark.range(1).select(skip_similar_terms(term_array(terms)).alias("k")).first()["k"] == restated(terms)
+
+
+def test_clean_text_searches_patterns_only_where_they_occur(one):
+    values = ["a http b", "x http://y z@w", "@a@b c", "a\x1cb\x1f c", "httpx @", "", None]
+    assert one(text.clean_text, values) == ["a http b", "x z", "c", "a b c", "", "", None]
+    # four separators, the start of a link, the start of a mention
+    assert str(text.clean_text(F.col("v"))).count("contains(") >= 6
