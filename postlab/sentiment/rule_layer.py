@@ -37,41 +37,55 @@ def joined_idioms(idioms: Mapping[str, float]) -> dict[str, float]:
 
 
 def _words(text: Column, idioms: Mapping[str, float]) -> Column:
-    """Words in text order and as written, idioms as one word."""
+    """Words in text order, idioms as one word: ``words`` as written and ``low`` in lower case."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{WORD_CHARS}']+"), F.lit(0))
-    # every word has spaces of its own, so neighbouring idioms don't compete for one
-    line = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
-    for phrase in sorted((p.lower().split() for p in idioms), key=lambda ws: (-len(ws), ws)):
-        pattern = "(?i) " + "  ".join(f"({word})" for word in phrase) + " "
-        line = F.regexp_replace(line, pattern, " " + "-".join(f"${i}" for i in range(1, len(phrase) + 1)) + " ")
-    return F.split(F.btrim(line, F.lit(" ")), " +")
+    phrases = sorted((p.lower().split() for p in idioms), key=lambda ws: (-len(ws), ws))
 
+    def joined(s: Column) -> Column:
+        line = s["line"]
+        for phrase in phrases:
+            # the space behind an idiom stays, so neighbouring idioms don't compete for one; most lines lack most idioms
+            pattern = "(?i) " + " ".join(f"({word})" for word in phrase) + "(?= )"
+            put = " " + "-".join(f"${i}" for i in range(1, len(phrase) + 1))
+            line = let(line, lambda x, pattern=pattern, put=put, phrase=phrase: F.when(
+                F.contains(s["low"], F.lit(f" {' '.join(phrase)} ")), F.regexp_replace(x, pattern, put)).otherwise(x))
+        return let(F.btrim(line, F.lit(" ")), lambda x: F.struct(
+            F.split(x, " ").alias("words"), F.split(F.lower(x), " ").alias("low")))
 
-def _capital(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
+    line = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+    return let(let(line, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"))), joined)
+
+
+def _capital(word: Column, low: Column) -> Column:
+    """Whether a word, given with its lower case, is in capitals; most words are in lower case, which ends the test."""
+    return (word != low) & (word == F.upper(word))
 
 
 def _places(text: Column, idioms: Mapping[str, float], wanted=None) -> Column:
     """A record per (wanted) word: itself, the words before it, which are emphasised, and the factor of its clause."""
 
-    def of(words: Column) -> Column:
-        capitals = F.size(F.filter(words, _capital))
-        state = F.struct(words.alias("words"), ((capitals > 0) & (capitals < F.size(words))).alias("mixed"),
-                         F.array_position(F.transform(words, F.lower), "but").alias("but"))
+    def of(s: Column) -> Column:
+        capitals = F.size(F.filter(s["words"], lambda w, i: _capital(w, F.get(s["low"], i))))
+        state = F.struct(s["words"].alias("words"), s["low"].alias("low"),
+                         let(capitals, lambda n: (n > 0) & (n < F.size(s["words"]))).alias("mixed"),
+                         F.array_position(s["low"], "but").alias("but"))
         return let(state, records)
 
     def records(s: Column) -> Column:
-        def record(w: Column, i: Column) -> Column:
+        def strong(i: Column) -> Column:
+            return s["mixed"] & _capital(F.get(s["words"], i), F.get(s["low"], i))
+
+        def record(low: Column, i: Column) -> Column:
             place = i + 1
             clause = F.when((s["but"] == 0) | (place == s["but"]), 1.0).when(
                 place < s["but"], rules.VADER_BEFORE_BUT).otherwise(rules.VADER_AFTER_BUT)
             made = F.struct(
-                F.lower(w).alias("token"), (s["mixed"] & _capital(w)).alias("strong"), clause.alias("clause"),
-                *(F.lower(F.get(s["words"], i - d)).alias(f"before_{d}") for d in _BACK),
-                *(F.coalesce(s["mixed"] & _capital(F.get(s["words"], i - d)), F.lit(False)).alias(f"strong_{d}") for d in _BACK))
-            return made if wanted is None else F.when(wanted(F.lower(w)), made)
+                low.alias("token"), strong(i).alias("strong"), clause.alias("clause"),
+                *(F.get(s["low"], i - d).alias(f"before_{d}") for d in _BACK),
+                *(F.coalesce(strong(i - d), F.lit(False)).alias(f"strong_{d}") for d in _BACK))
+            return made if wanted is None else F.when(wanted(low), made)
 
-        return F.array_compact(F.transform(s["words"], record))
+        return F.array_compact(F.transform(s["low"], record))
 
     return let(_words(text, idioms), of)
 
@@ -85,7 +99,7 @@ def _adjusted(value: Column, at, boosters: Mapping[str, float], negations: list[
     """Valence of a word after all rules of its surroundings; ``at`` gives the fields of its record."""
     capitals = F.lit(rules.VADER_CAPITALS)
     value = let(value, lambda v: F.when(at("strong"), v + _along(v, capitals)).otherwise(v))
-    so = ("so", "this")
+    so, acting = ("so", "this"), sorted({*boosters, *negations})
     for d, damping in zip(_BACK, rules.VADER_DAMPING):
         word, between = at(f"before_{d}"), [at(f"before_{e}") for e in range(1, d)]
 
@@ -93,7 +107,7 @@ def _adjusted(value: Column, at, boosters: Mapping[str, float], negations: list[
             def of(b: Column) -> Column:
                 strong = b + F.when(at(f"strong_{d}"), _along(b, capitals)).otherwise(F.lit(0.0))
                 return v + F.when(b == 0, 0.0).otherwise(_along(v, strong * damping))
-            return let(F.coalesce(_value_of(boosters, word), F.lit(0.0)), of)
+            return let(_value_of(boosters, word), of)
 
         def turned(v: Column, word=word, between=between) -> Column:
             plain = F.when(word.isin(*negations), v * rules.VADER_NEGATION).otherwise(v)
@@ -105,7 +119,11 @@ def _adjusted(value: Column, at, boosters: Mapping[str, float], negations: list[
             return (F.when(word.isin(*negations) & (word == "never") & near_so, v * rules.VADER_NEVER_SO)
                     .when(word.isin(*negations) & (word == "without") & near_doubt, v).otherwise(plain))
 
-        value = let(let(value, boosted), turned) if negations else let(value, boosted)
+        def acted(v: Column, boosted=boosted, turned=turned, word=word) -> Column:
+            after = let(boosted(v), turned) if negations else boosted(v)
+            return F.when(word.isin(*acting), after).otherwise(v)       # most words don't act
+
+        value = let(value, acted) if acting else value
     if "least" not in valued:
         kept = F.coalesce(at("before_2").isin("at", "very"), F.lit(False))
         value = let(value, lambda v: F.when((at("before_1") == "least") & ~kept, v * rules.VADER_NEGATION).otherwise(v))

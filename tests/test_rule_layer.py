@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlab import rules
+from postlab.sentiment import rule_layer
 from postlab.sentiment.lexicon import Lexicon
 from postlab.sentiment.rule_layer import rule_score, rule_score_with_table
 
@@ -104,3 +105,12 @@ def test_empty_list_and_empty_table(spark):
     none = spark.createDataFrame([], "token string, valence double")
     assert rule_score_with_table(df, none, "post_id", idioms={}).first().compound == 0.0
     assert rule_score_with_table(df.limit(0), none, "post_id").count() == 0
+
+
+def test_only_idioms_that_occur_are_searched(one):
+    idioms = {"of the": 1.0, "not bad at": 2.0, "bad at": -1.0, "tres bien": 0.5}
+    texts = ["Of the OF THE of", "not bad at bad at", "TRES bien, tres  bien's", "of the-of the", "", "of, the!", None]
+    got = one(lambda c: rule_layer._words(c, idioms)["words"], texts)
+    assert got == [["Of-the", "OF-THE", "of"], ["not-bad-at", "bad-at"], ["TRES-bien", "tres", "bien's"], ["of-the", "of-the"], [""], ["of-the"], [""]]
+    assert one(lambda c: rule_layer._words(c, idioms)["low"], texts) == [[w.lower() for w in ws] for ws in got]
+    assert str(rule_layer._words(F.col("t"), idioms)).count("contains(") == len(idioms)
