@@ -32,8 +32,8 @@ from postlab.llm.store import stored
 from postlab.llm.tokens import RUNS, encoder, relieve, spans
 
 CHUNK = 8 << 20
-#: Pairs that one bucket of the exchange gets; documents whose groups are written out at once; words per call of B.
-ENTRIES, TOGETHER, WORDS = 2_000_000, 256, 20_000
+#: Pairs that one bucket of the exchange gets; documents whose groups are written out at once; words per call of B; chunks per file.
+ENTRIES, TOGETHER, WORDS, CHUNKS = 2_000_000, 256, 20_000, 1
 
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
@@ -209,8 +209,11 @@ def _chunks(docs: DataFrame, key: str, text: str, a: str, b: str, written: bool)
             held, times = np.unique(owner * distinct + index, return_counts=True)
             doc, word = np.divmod(held, max(distinct, 1))
             pairs, refs = np.unique(linked.a << 32 | linked.b, return_inverse=True)
-            once = np.unique(_expanded(doc, word, linked.n_links, refs) if len(refs) else np.zeros(0, np.int64))
-            documents = np.bincount(once % max(len(pairs), 1), minlength=len(pairs)) if len(pairs) else np.zeros(0, np.int64)
+            documents, ends = np.zeros(len(pairs), np.int64), np.searchsorted(doc, np.arange(0, n + TOGETHER, TOGETHER))
+            for i, j in zip(ends, ends[1:]):                    # no document lies in two blocks
+                if len(pairs):
+                    once = np.unique(_expanded(doc[i:j], word[i:j], linked.n_links, refs))
+                    documents += np.bincount(once % len(pairs), minlength=len(pairs))
             fast = own.same[pairs >> 32] == pairs & 0xFFFFFFFF
             vector[pairs[fast] >> 32] += documents[fast]
             yield _row(batch["key"], [
@@ -218,9 +221,9 @@ def _chunks(docs: DataFrame, key: str, text: str, a: str, b: str, written: bool)
                 _planes(np.bincount(doc, minlength=n), 4), _planes(np.diff(word, prepend=0) & 0xFFFFFFFF, 4), _planes(times, 4),
                 _planes(linked.n_links, 4), _planes(refs, 4), _planes(np.diff(pairs, prepend=0), 8), _planes(documents, 4), None])
             seq += 1
-            del encoded, linked, once
+            del encoded, linked, index, owner, held, doc, word, times, refs
+            relieve()
         yield _row(None, [-1 - part, *[None] * 13, vector.tolist()])
-        relieve()
 
     def _expanded(doc, word, n_links, refs) -> np.ndarray:
         first = np.cumsum(n_links) - n_links
@@ -317,7 +320,7 @@ class Aligned:
 def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", groups: bool = False) -> Aligned:
     """Align all whole texts. ``groups`` also gives each document's groups as ``a1,a2|b1;a3|b2,b3``."""
     kind = dict(docs.dtypes)[key]
-    every = stored(_chunks(docs, key, text, a, b, groups), "align-chunks")
+    every = stored(_chunks(docs, key, text, a, b, groups), "align-chunks", CHUNKS)
     chunks = every.filter("chunk >= 0")
     vector = every.filter("chunk < 0").select(F.posexplode("vector").alias("a", "n")).filter("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     fast = {r.a: r.n for r in vector.collect()}

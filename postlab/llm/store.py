@@ -10,16 +10,17 @@ from postlab.session import work_path
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
     """Write a table once and read it back.
 
     Later jobs read files instead of running the plan again, a lost executor costs only its own
     tasks, and a join against it shuffles it afresh, so that adaptive execution can split hot keys.
-    The files go when the session ends.
+    The files go when the session ends. ``rows_per_file`` is for rows of several MB: Parquet holds the rows of a file in memory until
+    it has 100 of them, and a scan takes up to 4,096 at once, so without it a task's memory grows with its share of the input.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
     _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

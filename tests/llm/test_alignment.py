@@ -105,3 +105,21 @@ def test_odd_rows(odd, none):
     got = align(odd, A, B).documents
     assert got.count() == odd.count() and got.filter("n_a > 0").count() == 6
     assert align(none, A, B).documents.count() == 0 and align(none, A, B).pairs().count() == 0
+
+
+def test_a_file_holds_one_chunk(spark, monkeypatch):
+    """Parquet buffers up to 100 rows and a scan up to 4,096, each of some MB, so a task's memory would grow with its share of the input."""
+    from collections import Counter as Counted
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"one word and don't {i % 7}  two {'naïve ' * (i % 5)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(tuple(r) for r in align(docs, A, B).documents.collect())
+    written = []
+    monkeypatch.setattr(alignment, "stored", lambda df, name, *rest, own=alignment.stored: written.append(own(df, name, *rest)) or written[-1])
+    monkeypatch.setattr(alignment, "slices", lambda batches, column, limit, own=alignment.slices: own(batches, column, 200))
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    assert sorted(tuple(r) for r in align(docs, A, B).documents.collect()) == whole
+    files = Counted(r.file for r in written[0].select(F.input_file_name().alias("file")).collect())
+    assert len(files) > 5 and set(files.values()) == {1}
