@@ -61,10 +61,14 @@ def title_case(value) -> Column:
 
 
 def contains_any(value, needles: Sequence[str]) -> Column:
-    """Case-insensitive substring test against a fixed list."""
+    """Case-insensitive substring test against a fixed list; short needles are found soonest and stand for those that hold them."""
+    fewest: list[str] = []
+    for needle in sorted((n.lower() for n in needles), key=len):
+        if not any(short in needle for short in fewest):
+            fewest.append(needle)
     return let(
         F.lower(_col(value)),
-        lambda low: _any_of([F.contains(low, F.lit(n.lower())) for n in needles]),
+        lambda low: _any_of([F.contains(low, F.lit(n)) for n in fewest]),
     )
 
 

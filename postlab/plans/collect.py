@@ -13,23 +13,24 @@ from postlab.operators.joins import join_profile
 from postlab.operators.sampling import trim_total
 from postlab.operators.windows import (cap_after_first_accept, cap_per_search,
                                        dedupe_across_terms, limit_per_term, one_post_per_user)
-from postlab.session import shared_dir
+from postlab.session import stored_table
 
 
 def select_posts(hits: DataFrame, profile: str = "v3", per_term: int | None = None) -> DataFrame:
     """Which hits are kept: the caps and de-duplication of a collector profile.
 
-    ``per_term``: keep the first so many of each term, all by default. The hits are checkpointed:
-    the caps below read them up to four times, the landed files once.
+    ``per_term``: keep the first so many of each term, all by default. The hits are stored with their match: the caps below
+    read them up to four times, each time only the columns they need, the landed files once.
     """
-    shared_dir(hits.sparkSession)
-    limited = limit_per_term(hits, per_term).checkpoint()
+    limited = limit_per_term(hits, per_term)
+    if profile not in ("v1", "v2"):
+        limited = limited.withColumn("match", contains_any("content", rules.TOPIC_KEYWORDS))
+    limited = stored_table(limited, "limited-hits")
     if profile == "v1":
         return dedupe_across_terms(limited)
     if profile == "v2":
         return one_post_per_user(cap_per_search(limited))
-    matched = limited.withColumn("match", contains_any("content", rules.TOPIC_KEYWORDS))
-    return dedupe_across_terms(cap_after_first_accept(matched)).drop("match")
+    return dedupe_across_terms(cap_after_first_accept(limited)).drop("match")
 
 
 def collect_posts(hits: DataFrame, profiles: DataFrame, profile: str = "v3", total: int | None = None,

@@ -40,6 +40,30 @@ def test_collect(spark, hits, profile, posts, users):
     assert postlab.collect_posts(hits, profiles, profile, total=3).count() == 3
 
 
+def test_hits_are_read_once(spark, hits):
+    """The hits are worked out once; what reads them afterwards takes only the columns it needs."""
+    from postlab.plans.collect import select_posts
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    kept = select_posts(hits.mapInArrow(seen, hits.schema), "v3")
+    assert kept.count() > 0 and read.value == hits.count()
+    narrow = kept.select("post_id")._jdf.queryExecution().executedPlan().toString()
+    assert "user" in narrow and "content" not in narrow
+
+
+def test_short_needles_stand_for_longer_ones(one):
+    from postlab.functions.text import contains_any
+
+    texts = ["A chatGPT", "gp t", "deep Learning", "ÄRGER", "", None, "gpt"]
+    assert one(lambda c: contains_any(c, ["ChatGPT", "GPT", "Deep learning", "ärger"]), texts) == [True, False, True, True, False, None, True]
+
+
 def test_merge_repair_score_report(spark):
     a = spark.createDataFrame([(1, "good cafÃ©", "Paris, France", "2024-01-01T00:00:00Z"), (2, "bad", " ", "2024-01-01T00:00:00Z")],
                               "post_id int, content string, location string, created_at string")
