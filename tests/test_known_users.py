@@ -60,3 +60,15 @@ def test_state_is_two_numbers():
     posts = pd.DataFrame({"t": [0] * 1000 + [1], "m": [False] * 10 + [True] * 991})
     numbers, known, last, spent = known_users.spend(posts, 2, False, -1, 0, "t", "m")
     assert [i for i, n in enumerate(numbers) if n] == [10, 11, 1000] and (known, last, spent) == (True, 1, 1)
+
+
+def test_users_of_a_bucket_have_their_own_times(poll):
+    """All users share one bucket: a call of Python for each bucket, not for each user, and each is forgotten by itself."""
+    options = {"silent": 86400, "buckets": 1}
+    poll([(1, 0, "a", "u", True), (1, 1, "b", "v", True), (1, 2, "n", None, True), (1, 3, "o", "w", False)], **options)
+    poll([(2, 0, "c", "v", True), (2, 1, "far", "z", True)], **options)         # u and null fall silent
+    poll([(3, 0, "farther", "z", True)], **options)
+    out = poll([(4, 0, "d", "u", False), (4, 1, "e", "z", False), (4, 2, "f", "z", True), (4, 3, "g", "z", True), (4, 4, "h", None, False),
+                (4, 5, "i", None, True), (4, 6, "j", "u", True), (4, 7, "k", "w", True)], **options)
+    assert sorted((r.post_id, r.user_post_count) for r in out.collect()) == [
+        ("a", 1), ("b", 1), ("c", 1), ("f", 2), ("far", 1), ("farther", 1), ("i", 1), ("j", 1), ("k", 1), ("n", 1)]
