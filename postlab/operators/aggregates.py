@@ -126,22 +126,22 @@ def word_frequency(posts: DataFrame, stop_words: Sequence[str], labels=("positiv
                    text: str = "content", label: str = "sentiment", min_text: int = 10) -> DataFrame:
     """Word counts per label, for labels with more than ``min_text`` characters of joined text.
 
-    Each post adds one null word that carries its length (plus the joining
-    space), so counts and text sizes come from the same pass over the text. The
-    two uses below filter on aggregated columns only; a filter on ``word`` would
-    be pushed under the aggregate and split it into two.
+    Each post adds one word that starts with a space and names its length (plus the joining
+    space), so counts and text sizes come from the same pass over the text. Words are exploded plain and
+    tested afterwards: functions over the array are interpreted word by word, and structs of
+    words cost as much again. The two uses below filter on aggregated columns only; a filter on ``word``
+    would be pushed under the aggregate and split it into two.
     """
     wanted = posts.where(F.col(label).isin(*labels) & F.col(text).isNotNull()).select(label, text)
-    found = F.filter(
-        tokens(text, f"[{WORD_CHARS}][{WORD_CHARS}']+"),
-        lambda w: ~w.isin(*stop_words))
-    # word and size travel in one struct: a text column kept beside the words
-    # would be copied once per word
-    sized = F.transform(found, lambda w: F.struct(w.alias("word"), F.lit(0).alias("size")))
-    whole = F.struct(F.lit(None).cast("string").alias("word"), (F.length(text) + 1).alias("size"))
-    words = wanted.select(label, F.inline(F.array_append(sized, whole)))
-    counts = words.groupBy(label, "word").agg(_rows().alias("n"), F.sum("size").alias("size"))
-    enough = counts.where((F.col("size") - 1 > min_text) & (F.col("n") > 0)).select(label)
+    found = tokens(text, f"[{WORD_CHARS}][{WORD_CHARS}']+")
+    length = F.concat(F.lit(" "), (F.length(text) + 1).cast("string"))
+    words = wanted.select(label, F.explode(F.array_append(found, length)).alias("word"))
+    is_length = F.startswith("word", F.lit(" "))
+    words = words.where(is_length | ~F.col("word").isin(*stop_words))
+    size = F.when(is_length, F.substring("word", 2, 20).cast("long")).otherwise(F.lit(0))
+    counts = words.groupBy(label, "word").agg(_rows().alias("n"), F.sum(size).alias("size"))
+    sizes = counts.where((F.col("size") > 0) & (F.col("n") > 0)).groupBy(label).agg(F.sum("size").alias("size"))
+    enough = sizes.where(F.col("size") - 1 > min_text).select(label)
     # at most one row per wanted label: joining by shuffle would put all words of
     # a label into one task
     return counts.where(F.col("size") == 0).drop("size").join(F.broadcast(enough), label, "left_semi")

@@ -112,6 +112,15 @@ def test_words(spark):
     assert {r.word: r["rank"] for r in agg.top_words(df, ["the"], 1).collect()} == {"cat": 1}
 
 
+def test_words_are_counted_plain(spark):
+    """No function over arrays, which is interpreted for each word; numbers and odd stop words don't meet the lengths."""
+    rows = [("positive", "18 ' 18 'tis o' 'x x", "17")] * 2 + [("negative", "", "")]
+    df = spark.createDataFrame(rows, "sentiment string, content string, more string")
+    out = agg.word_frequency(df, [" 21", "tis"], min_text=0)
+    assert {(r.sentiment, r.word): r.n for r in out.collect()} == {("positive", "18"): 4, ("positive", "o'"): 2}
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_and_snapshot(spark):
     d = dt.date
     df = spark.createDataFrame([("Ohio", d(2020, 1, 1), 5.0), ("Ohio", d(2020, 1, 2), 7.0), ("Utah", d(2020, 1, 1), 2.0)],
