@@ -24,7 +24,7 @@ from postlab.llm.packing import pack
 from postlab.llm.private import pseudonymise_column
 from postlab.llm.quality import clean_lines
 from postlab.llm.queries.private import key_of
-from postlab.llm.store import stored, table
+from postlab.llm.store import release, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this much of their five-word shingles, in hundredths (op9 by itself asks for 85).
@@ -47,7 +47,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     stays = stored(first.select("first.row"), "pipeline-stays")
-    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
+    return rows.join(stays.hint("merge"), "row", "left_semi").select(*COLUMNS)        # no bound is known for what stays
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stored documents don't tell their place, so it is computed again; the same documents have the same plan."""
     plan = stored(mix_plan(docs, block=MIX_BLOCK).select("key", "mix_source", "position"), "pipeline-order")
     placed = docs.withColumn("named", named_source("source")).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("named") == F.col("mix_source"))).select("doc_id", "text", "position")
+        plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("named") == F.col("mix_source"))).select("doc_id", "text", "position")
     pieces = pack(placed, public_tokenizers.path("byte_bpe_50k.json"), end=0, order="position")
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
@@ -78,4 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark)
     return docs

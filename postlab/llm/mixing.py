@@ -166,6 +166,6 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, by: str =
     plan = stored(mix_plan(docs, shares, by, key, text, block, power), "mix-plan").withColumnsRenamed(
         {"key": "__key", "mix_source": "__source"})
     keep = [f"`{c}`" for c in docs.columns if c not in PLAN]
-    joined = docs.select(*keep).join(plan, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (named_source(by) == F.col("__source")))
+    joined = docs.select(*keep).join(plan.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (named_source(by) == F.col("__source")))
     out = joined.select(*keep, F.col("__source").alias("mix_source"), *PLAN[1:])
     return out.repartitionByRange("position", f"`{key}`").sortWithinPartitions("position", f"`{key}`")

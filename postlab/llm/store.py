@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlab.session import work_path
@@ -25,6 +27,12 @@ def stored(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans nobody holds any more; it does so when their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
